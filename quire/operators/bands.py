@@ -9,11 +9,11 @@ estimate is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import PAGE
-from quire.operators.ordered import running, span
+from quire.operators.ordered import span
 
 BAND = 1024
 
@@ -70,7 +70,6 @@ def prefixed(df: DataFrame, prefix: str, keys: list[str] = PAGE) -> DataFrame:
 
 def box_clusters(
     df: DataFrame,
-    order_id: Column,
     x1: Column,
     y1: Column,
     x2: Column,
@@ -82,20 +81,21 @@ def box_clusters(
     """Split a page into parts no box reaches across, first along y, then along x.
 
     Adds ``_cy`` and ``_cx``.  Boxes of different parts neither overlap nor come within
-    ``reach_*`` of one another, so greedy algorithms can work on each part alone.
+    ``reach_*`` of one another, so greedy algorithms can work on each part alone.  Boxes are
+    folded to one row per start pixel before the windows, which keeps those small.
     """
-    zero = F.lit(0)
     out = df
     for name, start, end, reach in (("_cy", y1, y2, reach_y), ("_cx", x1, x2, reach_x)):
         within = keys if name == "_cy" else [*keys, "_cy"]
-        order = [start, order_id]
-        chunk = span(start, BAND)
-        out = running(
-            out, within, order, chunk,
-            highest={"_far": F.greatest(start, end) + (zero if reach is None else reach)},
+        far = F.greatest(start, end) + (F.lit(0) if reach is None else reach)
+        out = out.withColumns({"_start": start, "_far": far})
+        w = Window.partitionBy(*within).orderBy("_start")
+        before = F.max("_far").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        spots = (
+            out.groupBy(*within, "_start")
+            .agg(F.max("_far").alias("_far"))
+            .withColumn("_new", F.coalesce(F.col("_start") >= before, F.lit(True)).cast("int"))
+            .select(*within, "_start", F.sum("_new").over(w).cast("int").alias(name))
         )
-        out = running(
-            out, within, order, chunk,
-            sums={name: F.when(F.col("_far").isNull() | (start >= F.col("_far")), 1).otherwise(0)},
-        ).drop("_far")
+        out = out.drop("_far").join(spots, [*within, "_start"]).drop("_start")
     return out
