@@ -237,15 +237,16 @@ def bordered_regions(
         .select(*PAGE, "t_ord", "b_ord", F.col("t_pos").alias("y1"), F.col("b_pos").alias("y2"),
                 left.alias("cx1"), right.alias("cx2"))
     )
+    pairs = settle(pairs)
     key = [*PAGE, "t_ord", "b_ord"]
     connects = (
         F.col("v_x").between(F.col("cx1"), F.col("cx2"))
         & (F.col("v_y1") <= F.col("y1") + touch) & (F.col("v_y2") >= F.col("y2") - touch)
     )
-    closed = pairs.join(uprights, PAGE).filter(connects).groupBy(*key).agg(
+    closed = pairs.join(uprights, PAGE).filter(connects).groupBy(*pairs.columns).agg(
         F.min("v_x").alias("vl"), F.max("v_x").alias("vr")
     ).filter("vl < vr")
-    boxed = pairs.join(closed, key).select(
+    boxed = closed.select(
         *key, "y1", "y2",
         F.when(F.col("vl") - F.col("cx1") > overhang, F.col("cx1")).otherwise(F.col("vl")).alias("x1"),
         F.when(F.col("cx2") - F.col("vr") > overhang, F.col("cx2")).otherwise(F.col("vr")).alias("x2"),
@@ -283,7 +284,7 @@ def bordered_regions(
         (F.col("y2") - F.col("y1")).alias("height"),
     ).filter((F.col("width") >= min_size) & (F.col("height") >= min_size))
     order = [F.col("t_ord"), F.col("b_ord")]
-    seq = numbered(sized, PAGE, order, span("t_ord", 512), "region_seq")
+    seq = numbered(settle(sized), PAGE, order, span("t_ord", 512), "region_seq")
     return seq.select(*PAGE, "region_seq", "x", "y", "width", "height")
 
 
