@@ -513,13 +513,13 @@ def match_table(tables: DataFrame, replacement: DataFrame) -> DataFrame:
 
     ``replacement``: page key, ``table_name``, ``region_name``, ``table_index`` (0-based).
     """
-    mine = tables.select(*PAGE, F.col("table_seq").alias("t_seq"), F.upper("table_name").alias("t_name"))
+    mine = tables.select(*PAGE, F.col("table_seq").alias("t_seq"), F.lower("table_name").alias("t_name"))
     counted = tables.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("t_count"))
     region = F.col("region_name")
     named = ~is_blank(region) & ~region.isin("表", "＋ 表")
     rank = (
-        F.when(F.col("t_name") == F.upper("table_name"), 1)
-        .when(named & (F.col("t_name") == F.upper(region)), 2)
+        F.when(F.col("t_name") == F.lower("table_name"), 1)
+        .when(named & (F.col("t_name") == F.lower(region)), 2)
         .when((F.col("table_index") >= 0) & (F.col("t_seq") == F.col("table_index") + 1), 3)
         .when(F.col("t_count") == 1, 4)
     )
