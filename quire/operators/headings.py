@@ -108,7 +108,7 @@ def drop_removed_headings(headings: DataFrame, removed: DataFrame) -> DataFrame:
 def drop_running_headers(headings: DataFrame, mode: str = "carried") -> DataFrame:
     """Drop repeated chapter titles: ``carried`` those equal to the chapter running so far,
     ``seen`` those that came up anywhere before in the document."""
-    keyed = headings.withColumn("_key", F.lower(chapter_key("text")))
+    keyed = settle(headings.withColumn("_key", F.lower(chapter_key("text"))))
     if mode == "seen":
         firsts = keyed.filter("_key IS NOT NULL").groupBy("doc_id", "_key").agg(
             F.min(F.struct("page_no", "seq")).alias("_f")
@@ -121,7 +121,7 @@ def drop_running_headers(headings: DataFrame, mode: str = "carried") -> DataFram
     if mode != "carried":
         raise ValueError(f"unknown mode {mode!r}")
     carried = running(
-        settle(keyed), ["doc_id"], [F.col("page_no"), F.col("seq")], span("page_no", PAGE_CHUNK),
+        keyed, ["doc_id"], [F.col("page_no"), F.col("seq")], span("page_no", PAGE_CHUNK),
         latest={"_was": F.col("_key")},
     )
     again = F.col("_key").isNotNull() & F.col("_key").eqNullSafe(F.col("_was"))
