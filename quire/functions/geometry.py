@@ -70,3 +70,22 @@ def line_bucket(type_col: Column | str) -> Column:
         .when(t.contains("注") | t.contains("キャプション"), "footnote")
         .otherwise("body")
     )
+
+
+def cluster_array(positions: Column, tol: int) -> Column:
+    """Cluster a sorted array of positions: a position joins the last cluster when within
+    ``tol`` of its mean.  The means, rounded half to even."""
+    start = F.array().cast("array<struct<s:bigint,n:bigint>>")
+
+    def add(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        one = F.struct(p.cast("long").alias("s"), F.lit(1).cast("long").alias("n"))
+        more = F.struct((last["s"] + p).cast("long").alias("s"), (last["n"] + 1).cast("long").alias("n"))
+        fresh = (F.size(acc) == 0) | (F.abs(p - last["s"] / last["n"]) > tol)
+        return F.when(fresh, F.concat(acc, F.array(one))).otherwise(
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))
+        )
+
+    return F.transform(
+        F.aggregate(positions, start, add), lambda c: F.bround(c["s"] / c["n"], 0).cast("int")
+    )
