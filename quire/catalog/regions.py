@@ -561,11 +561,14 @@ def _(spark, sf):
 
 
 # On two-deck pages the left and right piece of a row are one split line when less than
-# 80 px lie between them; the stronger piece stays and takes the other in.
+# 80 px lie between them; the stronger piece stays and takes the other in.  Lines are at
+# least 30 px long here, so that a box is never upright on a horizontal page or flat on a
+# vertical one.
 @query(
     "merge_detections",
-    f"""WITH {LINES}, d AS (SELECT doc_id, page_no, 2 * line_id AS det_id, x AS x1, y AS y1, x + width AS x2, y + height AS y2,
-        width AS w, confidence + 0.01 AS conf,
+    f"""WITH {LINES}, d AS (SELECT doc_id, page_no, 2 * line_id AS det_id, x AS x1, y AS y1,
+        x + greatest(width, CASE WHEN is_vertical THEN 0 ELSE 30 END) AS x2, y + greatest(height, CASE WHEN is_vertical THEN 30 ELSE 0 END) AS y2,
+        greatest(width, CASE WHEN is_vertical THEN 0 ELSE 30 END) AS w, confidence + 0.01 AS conf,
         CASE WHEN doc_id % 2 = 1 THEN (line_id % 30) % 15 ELSE line_id % 30 END AS row,
         CASE WHEN doc_id % 2 = 1 THEN (line_id % 30) // 15 ELSE 0 END AS side FROM ocr_lines),
     p AS (SELECT *, count(*) OVER g AS n, max(x1) OVER g - min(x2) OVER g AS apart, min(w) OVER g AS thin,
@@ -587,6 +590,13 @@ def _(spark, sf):
     dets = detections(spark, sf).withColumn(
         "confidence", F.expr("CASE WHEN det_id % 2 = 0 THEN confidence + 0.01D ELSE 0.001D END")
     )
+    flat = F.expr("NOT doc_id % 4 = 0")
+    dets = dets.withColumns(
+        {
+            "x2": F.when(flat, F.greatest("x2", F.col("x1") + 30)).otherwise(F.col("x2")),
+            "y2": F.when(flat, F.col("y2")).otherwise(F.greatest("y2", F.col("y1") + 30)),
+        }
+    )
     return N.merge_detections(dets).select(*PAGE, "det_id", "x1", "y1", "x2", "y2")
 
 
