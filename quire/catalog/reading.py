@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire import PAGE
 from quire.catalog.base import SPACE, d_strip, query
-from quire.catalog.lines import BLOCKS, LINES, _PH, _PW, blocks
+from quire.catalog.lines import LINES, blocks
 from quire.functions import text as T
 from quire.operators import lines as L
 from quire.operators import paragraphs as P
@@ -186,3 +186,16 @@ def _(spark, sf):
     captions = X.grid_captions(spark, sf).withColumn("is_table", F.lit(False))
     tails = captions.withColumns({"line_id": F.lit(9999), "y": F.lit(2000)})
     return O.order_table_lines(cells.unionByName(captions).unionByName(tails))
+
+
+@query(
+    "reading_positions",
+    f"""WITH {LINES} SELECT doc_id, page_no, line_id, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, x, line_id) AS INT) AS position
+    FROM ocr_lines""",
+)
+def _(spark, sf):
+    from quire.operators.ordered import span
+
+    lines = X.ocr_lines(spark, sf).select(*PAGE, "line_id", "x", "y")
+    order = [F.col("y"), F.col("x"), F.col("line_id")]
+    return O.reading_positions(lines, order, span("y", 1024)).select(*PAGE, "line_id", "position")

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from quire import PAGE
 from quire.catalog.base import query
-from quire.catalog.reading import LINES
 from quire.operators import grid as G
 from quire.operators import tables as T
 from quire.plans import fixtures as X

@@ -1,8 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from quire.operators import rules as R
 from quire.streaming import ingest as I
 
@@ -75,3 +73,35 @@ def test_page_files(spark, tmp_path):
     fig = P.read_figures(spark, str(tmp_path)).select("doc_id", "page_no", "size_kb", "over_limit").first()
     assert fig == (7, 2, 2.0, False)
     assert P.read_display_lines(spark, str(tmp_path)).count() == 2
+
+
+def test_writers_round_trip(spark, tmp_path):
+    from quire.operators import grid as G
+    from quire.sources import pages as P
+
+    rows = spark.createDataFrame(
+        [(1, 1, "t", 2, ["c", "d,e"]), (1, 1, "t", 1, ["a", None])],
+        "doc_id long, page_no int, table_name string, row_index int, cells array<string>",
+    )
+    out = str(tmp_path / "csv")
+    P.write_tables(G.export_tables(rows, fmt="csv"), out)
+    assert [r.value for r in spark.read.text(out).collect()] == ["a,", 'c,"d,e"']
+
+    rules = spark.createDataFrame(
+        [("a", "x", False, "", 0), ("a", "y", False, "", 1), ("b+", "z", True, "why", 2), ("", "q", False, "", 3)],
+        "original string, replacement string, is_regex boolean, description string, ord int",
+    )
+    P.write_rules(rules, str(tmp_path / "rules"))
+    back = {(r.original, r.replacement, r.is_regex, r.description) for r in P.read_rules(spark, str(tmp_path / "rules" / "*.txt")).collect()}
+    assert back == {("a", "y", False, ""), ("b+", "z", True, "why")}
+
+    paras = spark.createDataFrame([(1, 1, 2, "two"), (1, 1, 1, "one")], "doc_id long, page_no int, para_no int, text string")
+    P.write_reading_order(paras, str(tmp_path / "order"))
+    assert spark.read.json(str(tmp_path / "order")).first().text == "one\n\ntwo"
+
+    folder = tmp_path / "layouts" / "5"
+    os.makedirs(folder)
+    (folder / "page_layout.json").write_text(
+        json.dumps({"template": {"name": "t", "regions": []}, "pages": {"1": {"use_template": True, "regions": [{"x": 3, "type": "body"}]}, "b": {"regions": []}}})
+    )
+    assert [(r.doc_id, r.page_no, r.region_seq, r.x) for r in P.read_layout_template(spark, str(tmp_path / "layouts")).collect()] == [(5, 1, 1, 3)]
