@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Used where a result feeds several branches, so that it is computed once, its size is
-    known to the optimizer, and a lost executor costs a re-read only.
+    Only a session within one process, as in tests, may go without: it gets a temporary folder.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return root.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str = "quire") -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Used where a result feeds several branches, so that it is computed once, its size is
+    known to the optimizer, and a lost executor costs a re-read only.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
