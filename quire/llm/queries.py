@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, token_files
+from quire.llm import packing, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,21 @@ def op1_token_files(spark, sf_dir):
     )
 
 
+@query("op3_quality_bands")
+def op3_quality_bands(spark, sf_dir):
+    return quality.judge(documents(spark, sf_dir))
+
+
+@query("op7_secrets")
+def op7_secrets(spark, sf_dir):
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.array_sort(F.concat("assign", "access", "hex"))
+    return found.select(
+        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("secret_spans")).alias("spans"),
+    )
+
+
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
