@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, quality, secrets, token_files
+from quire.llm import language, packing, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,17 @@ def op1_token_files(spark, sf_dir):
     )
 
 
+@query("op2_language")
+def op2_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    model = language.train(docs.where(F.coalesce(~held_out, F.lit(True))), vocabulary)
+    return language.predict(docs, model, vocabulary).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query("op3_quality_bands")
 def op3_quality_bands(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir))

@@ -119,7 +119,7 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, least: float
 
     Each is an array of ``start, kind, end, value`` in code points, end exclusive;
     ``secret_spans`` has all, by start and kind.  A run of key characters is reported as
-    ``markov`` if its log-likelihood ratio is at least ``least`` and ``least_mean`` a
+    ``markov`` if it has a letter and a digit, its log-likelihood ratio is at least ``least`` and ``least_mean`` a
     character, and it touches no span of a fixed pattern.  Columns of ``docs`` with these
     names are replaced.  A null or empty text has no spans; rows are judged one by one, so
     repeated rows repeat their result, and an empty table gives none.  Nothing is shuffled.
@@ -133,7 +133,8 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, least: float
     base = F.concat("assign", "access", "hex")
     candidates = _spans(F.coalesce("text", F.lit("")), CANDIDATE, 3)
     free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    likely = lambda c: score(c["value"]) >= F.greatest(F.lit(least), least_mean * F.char_length(c["value"]))
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    likely = lambda c: mixed(c["value"]) & (score(c["value"]) >= F.greatest(F.lit(least), least_mean * F.char_length(c["value"])))
     found = found.withColumn("markov", F.filter(F.filter(candidates, free), likely))
     return found.withColumn("secret_spans", F.array_sort(F.concat(base, F.col("markov"))))
 
