@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import text_slices
+from quire.llm.tokens import with_columns
 from quire.operators.staging import settle
 
 WORD_START = "▁"
@@ -24,7 +24,7 @@ MOST_PIECE = 10
 MOST_WORD = 40  # characters; longer words take the plain loop
 CACHED_WORDS = 150_000
 UNKNOWN = 1e-7  # probability of a character that no piece covers
-PREDICTIONS = "doc_id long, lang_pred string, score double, mean_log double"
+PREDICTIONS = "lang_pred string, score double, mean_log double"
 
 
 class Vocabulary:
@@ -293,36 +293,31 @@ def _counts(words: DataFrame, languages: list[str], path: str, model: np.ndarray
     return {(r["piece"], r["language"]): r["count"] for r in summed}
 
 
-def predict(docs: DataFrame, model: LanguageModel, vocabulary: str) -> DataFrame:
-    """``doc_id``, the most likely language, its posterior, and the mean log-likelihood a word.
+def with_language(docs: DataFrame, model: LanguageModel, vocabulary: str) -> DataFrame:
+    """The columns of ``docs`` with ``lang_pred``, ``score`` (its posterior) and ``mean_log`` (log-likelihood a word).
 
-    Only ``doc_id`` and ``text`` are read.  A text that is null or has no letter gets ``und``
-    with score 0, as does every text if the model has no language.  Equal posteriors go to
-    the language that sorts first.  Rows are judged one by one and nothing is shuffled.
+    Only ``text`` is read; columns of ``docs`` with these names are replaced.  A text that is null or has no letter gets
+    ``und`` with score 0, as does every text if the model has no language.  Equal posteriors
+    go to the language that sorts first.  Rows are judged one by one, repeated ones alike, an
+    empty table gives none, and nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        for batch in batches:
-            for start, end, texts in text_slices(batch):
-                scorer = scorer or Scorer(Vocabulary(vocabulary), shared.value.pieces)
-                names, scores, means = [], [], []
-                logs, counts = scorer.texts(texts)
-                logs = logs + shared.value.priors
-                for text, row, n in zip(texts, logs, counts.tolist()):
-                    if not len(row) or not text or not any(c.isalpha() for c in text.decode()):
-                        names.append("und")
-                        scores.append(0.0)
-                        means.append(0.0)
-                        continue
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, whatever the input's size
+
+    def make():
+        scorer = Scorer(Vocabulary(vocabulary), shared.value.pieces)
+        languages, priors = shared.value.languages, shared.value.priors
+
+        def columns(texts: list[bytes | None]) -> list:
+            logs, counts = scorer.texts(texts)
+            rows = []
+            for text, row, n in zip(texts, logs + priors, counts.tolist()):
+                if not languages or not text or not any(c.isalpha() for c in text.decode()):
+                    rows.append(("und", 0.0, 0.0))
+                else:
                     best = int(np.argmax(row))
-                    names.append(shared.value.languages[best])
-                    scores.append(float(1.0 / np.exp(row - row[best]).sum()))
-                    means.append(float(row[best] / max(1, n)))
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(start, end - start), pa.array(names), pa.array(scores), pa.array(means)],
-                    names=["doc_id", "lang_pred", "score", "mean_log"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PREDICTIONS)
+                    rows.append((languages[best], float(1.0 / np.exp(row - row[best]).sum()), float(row[best] / max(1, n))))
+            return [list(c) for c in zip(*rows)]
+
+        return columns
+
+    return with_columns(docs, PREDICTIONS, make)

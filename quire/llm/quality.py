@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quire.llm.tokens import text_slices
+from quire.llm.tokens import with_columns
 
 #: (least bytes, lowest ratio, highest ratio) of raw to compressed size for a text of at least that length.
 #: Compression gains with length, and a frame costs a short text some bytes.
@@ -19,7 +15,7 @@ _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\r\x0b\x0c"
 
 QUALITY = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "ratio double, odd_share double, base_failed boolean, kept boolean"
 )
 
@@ -87,23 +83,21 @@ def judge(
     docs: DataFrame, chunk: int = 4096, level: int = 3, text_bands: tuple = TEXT_BANDS,
     chunk_bands: tuple = CHUNK_BANDS, most_odd: float = 0.25,
 ) -> DataFrame:
-    """Counts and verdict for each row (``QUALITY``).
+    """The columns of ``docs`` with counts and verdict (``QUALITY``).
 
     A text is kept if it passes the base rules, its zstandard ratio lies in the band of its
     length, and at most ``most_odd`` of its bytes lie in chunks outside the band of theirs.
-    Only ``doc_id`` and ``text`` are read.  A null text counts as empty: no words, ratio 0, not
-    kept.  Rows are judged one by one, so repeated rows and ids give equal rows again; an
-    empty table gives none.  There is no shuffle; a task holds one batch of texts.
+    Only ``text`` is read; columns of ``docs`` with the new names are replaced.  A null text counts as empty: no words,
+    ratio 0, not kept.  Rows are judged one by one, so repeated rows give equal rows again; an empty
+    table gives none.  There is no shuffle; a task holds one batch of texts.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=level)
-        for batch in batches:
-            for start, end, texts in text_slices(batch):
-                rows = [_row(t, compressor, chunk, text_bands, chunk_bands, most_odd) for t in texts]
-                columns = [batch.column("doc_id").slice(start, end - start), *map(pa.array, zip(*rows))]
-                yield pa.record_batch(columns, names=[c.split()[0] for c in QUALITY.split(", ")])
+        return lambda texts: [
+            list(c) for c in zip(*(_row(t, compressor, chunk, text_bands, chunk_bands, most_odd) for t in texts))
+        ]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, QUALITY)
+    return with_columns(docs, QUALITY, make)

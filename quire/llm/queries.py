@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, ngram_join, packing, quality, secrets, token_files
+from quire.llm import language, mixing, ngram_join, packing, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,14 +40,14 @@ def op2_language(spark, sf_dir):
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     model = language.train(docs.where(F.coalesce(~held_out, F.lit(True))), vocabulary)
-    return language.predict(docs, model, vocabulary).select(
+    return language.with_language(docs.select("doc_id", "text"), model, vocabulary).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
 
 
 @query("op3_quality_bands")
 def op3_quality_bands(spark, sf_dir):
-    return quality.judge(documents(spark, sf_dir))
+    return quality.judge(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
 @query("op7_secrets")
@@ -68,6 +68,23 @@ def op8_packing(spark, sf_dir):
     )
 
 
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, domain`` of the labelled documents."""
+    domain = "case when toxic = 1 then 'toxic' when quality = 1 then 'good' else 'poor' end"
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.expr(domain).alias("domain"))
+
+
+#: Shares of the mix's tokens.
+TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
+
+
+@query("op9_mixing")
+def op9_mixing(spark, sf_dir):
+    found = mixing.rates(documents(spark, sf_dir), labelled_domains(spark, sf_dir), TARGETS)
+    shares = [F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return found.select("doc_id", "domain", "n_tokens", *shares, "rate")
+
+
 @query("op10_ngram_join")
 def op10_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("node")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 250_000
@@ -126,3 +128,23 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
             start, held, size = i + 1, [], 0
     if held:
         yield start, len(texts), held
+
+
+def with_columns(docs: DataFrame, schema: str, make: Callable[[], Callable[[list[bytes | None]], list]]) -> DataFrame:
+    """The columns of ``docs`` and those of ``schema``, made from slices of texts within each task.
+
+    ``make`` is called once in a task and returns a function from texts to columns.  Columns of
+    ``docs`` that have one of the new names are replaced.
+    """
+    added = StructType.fromDDL(schema)
+    kept = docs.drop(*added.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = None
+        for batch in batches:
+            for start, end, texts in text_slices(batch):
+                function = function or make()
+                own = [batch.column(i).slice(start, end - start) for i in range(batch.num_columns)]
+                yield pa.record_batch([*own, *map(pa.array, function(texts))], names=[*batch.schema.names, *added.names])
+
+    return kept.mapInArrow(run, StructType(kept.schema.fields + added.fields))
