@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, mixing, ngram_join, packing, quality, secrets, token_files
+from quire.llm import language, mixing, neighbours, ngram_join, packing, quality, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op3_quality_bands(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+@query("op4_neighbours")
+def op4_neighbours(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query("op7_secrets")
 def op7_secrets(spark, sf_dir):
     found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
