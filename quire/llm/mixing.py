@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.columns import let, with_fields
 from quire.operators.staging import settle
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -85,11 +86,6 @@ def fit_domains(
     return DomainModel(domains, priors, [(x - logs[0]).tolist() for x in logs[1:]], buckets, evidence)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once for a row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """Add ``n_tokens`` (words) and ``posteriors`` (one for each domain); columns of these names are replaced."""
     tables = [F.split(F.lit(",".join(f"{x:.5f}" for x in t)), ",").cast("array<double>") for t in model.tables]
@@ -100,22 +96,21 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
         return F.array(F.lit(model.priors[0]), *(F.lit(p) + weight * x for p, x in zip(model.priors[1:], sums)))
 
     def normal(powers: Column) -> Column:
-        return _let(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x), lambda norm: F.transform(powers, lambda x: x / norm))
+        return let(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x), lambda norm: F.transform(powers, lambda x: x / norm))
 
     def posteriors(words: Column) -> Column:
-        powers = _let(
-            _let(_buckets(words, model.buckets), scores),
-            lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+        powers = let(
+            let(_buckets(words, model.buckets), scores),
+            lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
         )
-        return _let(powers, normal)
+        return let(powers, normal)
 
-    both = _let(
+    both = let(
         _words(F.col("text")),
         lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), posteriors(w).alias("posteriors")),
     )
     own = [c for c in docs.columns if c not in ("n_tokens", "posteriors")]
-    # A generator is never merged with what reads it, so a row's posteriors are computed once.
-    return docs.select(*own, F.explode(F.array(both)).alias("_found")).select(*own, "_found.n_tokens", "_found.posteriors")
+    return with_fields(docs, own, both, ["n_tokens", "posteriors"])
 
 
 def _lookup(table: Column) -> Callable[[Column, Column], Column]:

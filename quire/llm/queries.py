@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, mixing, neighbours, ngram_join, packing, quality, secrets, suffixes, token_files
+from quire.llm import language, licenses, mixing, neighbours, ngram_join, packing, quality, secrets, suffixes, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,11 @@ def op4_neighbours(spark, sf_dir):
     return neighbours.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+@query("op5_licenses")
+def op5_licenses(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir), licenses.notices(spark))
+
+
 @query("op6_suffixes")
 def op6_suffixes(spark, sf_dir):
     return suffixes.remove_repeats(documents(spark, sf_dir)).drop("starts", "ends")
