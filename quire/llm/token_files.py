@@ -58,8 +58,9 @@ class _FileWriter:
         self.held.append(ids)
         self.waiting += len(ids)
         self.documents += len(doc_ids)
-        if self.waiting >= BATCH_SEQUENCES * self.length:
-            self._flush(self.waiting // self.length)
+        # Only the last batch of a file may be short, so that a sequence's batch follows from its number.
+        if batches := self.waiting // (BATCH_SEQUENCES * self.length):
+            self._flush(batches * BATCH_SEQUENCES)
 
     def _flush(self, sequences: int) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
