@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 4 << 20
-CACHED_WORDS = 250_000
+SLICE_BYTES = 1 << 20
+CACHED_WORDS = 150_000
 
 
 _LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
@@ -115,7 +115,7 @@ class WordEncoder:
         return np.insert(self.flat[take].astype(np.uint32), before[upto], np.uint32(end_id)), per_text + 1
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[bytes | None]]]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
     """The texts of a batch as UTF-8 bytes, in slices of bounded size: (from row, to row, texts)."""
     texts = batch.column(column).cast(pa.binary())
     start, held, size = 0, [], 0
@@ -123,7 +123,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         value = texts[i].as_py()
         held.append(value)
         size += len(value or b"")
-        if size >= SLICE_BYTES:
+        if size >= limit:
             yield start, i + 1, held
             start, held, size = i + 1, [], 0
     if held:
