@@ -59,20 +59,18 @@ def _cut(df: DataFrame, keep: list[str]) -> DataFrame:
     return with_fields(words, [*keep, "_words"], F.struct(_shingles(F.col("_words")).alias("_hashes")), ["_hashes"])
 
 
-def _bands(hashes: list[Column], bands: int) -> list[Column]:
-    """The least of the shingles' hashes for each band; nulls, behind a text's end, do not count."""
-    return [F.least(*(F.when(h.isNotNull(), F.xxhash64(h, F.lit(j))) for h in hashes)) for j in range(bands)]
-
-
 def _windows(df: DataFrame, keep: list[str], window: int, stride: int, bands: int) -> DataFrame:
     """``keep``, ``at`` (a window's first shingle, from 0) and ``value``, a row for each window and band."""
     width = window - SHINGLE + 1
     last = F.greatest(F.size("_hashes") - 1, F.lit(0))
     starts = F.when(F.size("_hashes") > 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     rows = df.select(*keep, "_hashes", F.explode(starts).alias("at"))
-    # The band is part of what is hashed, so a value belongs to one band.
-    hashes = [F.get("_hashes", F.col("at") + k) for k in range(width)]
-    return rows.select(*keep, "at", F.explode(F.array(*_bands(hashes, bands))).alias("value"))
+    names = [f"_hash_{k}" for k in range(width)]
+    rows = rows.select(*keep, "at", *(F.get("_hashes", F.col("at") + k).alias(n) for k, n in enumerate(names)))
+    rows = rows.withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    # The band is part of what is hashed, so a value belongs to one band; nulls, behind a text's end, do not count.
+    value = F.least(*(F.when(F.col(n).isNotNull(), F.xxhash64(n, "_band")) for n in names))
+    return rows.select(*keep, "at", value.alias("value"))
 
 
 def scan(
