@@ -1,7 +1,5 @@
 """Source and streaming queries.  The JSON read here is written from the tables by Spark."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from quire import PAGE
@@ -9,6 +7,7 @@ from quire.catalog.base import SPACE, d_strip, query
 from quire.catalog.lines import LINES
 from quire.catalog.reading import WORD, d_cut, d_years
 from quire.catalog.text import UNWRAP
+from quire.operators.staging import fresh_path
 from quire.plans import fixtures as X
 from quire.sources import pages as P
 from quire.streaming import ingest as I
@@ -152,9 +151,7 @@ def _(spark, sf):
                ELSE to_json(map('_comment', 'c', p_name, p_brand, 'x', 'y')) END"""
         ).alias("raw"),
     )
-    out = P.parse_rules(raw).drop("enabled")
-    # A variant map has its keys sorted; the order within a flat map is not kept.
-    return out.withColumn("ord", F.when(F.col("original") == "x", 1).when(F.col("is_regex"), F.col("ord")).otherwise(0))
+    return P.parse_rules(raw).drop("enabled")
 
 
 @query(
@@ -226,13 +223,7 @@ def _(spark, sf):
 
 def scratch(spark, label):
     """A folder of its own in the shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    import uuid
-
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return fresh_path(spark, label)
 
 
 @query(

@@ -41,7 +41,7 @@ def resolve_duplicate_lines(
     )
     alone, near = _crowded(placed)
     small = near.select(
-        *PART, "line_id", "x", "y", "width", "height", "confidence", "is_vertical",
+        *PART, "line_id", "x", "y", "width", "height", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "is_vertical",
         F.length(F.regexp_replace("text", r"(?U)\s+", "")).alias("chars"),
     )
 
@@ -97,6 +97,7 @@ def merge_detections(
     # Only pieces of one line may meet across a gap: sideways for flat ones, else downwards.
     reach_x = F.when(line & (F.greatest(F.lit(1), w) >= F.greatest(F.lit(1), h)), gap).otherwise(0)
     reach_y = F.when(line & (F.greatest(F.lit(1), h) > F.greatest(F.lit(1), w)), gap).otherwise(0)
+    dets = dets.withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
     placed = box_clusters(
         dets, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"),
         reach_x=reach_x, reach_y=reach_y,
@@ -232,6 +233,7 @@ def _wrap_lines(bare: DataFrame) -> DataFrame:
     """Lines that get a block of their own.  Strongest lines go first, and a line inside the
     block of an earlier one (10 px of margin, 50 px of tolerance) needs none."""
     columns = [*PAGE, "det_id", "x1", "y1", "x2", "y2", "confidence", "class_index"]
+    bare = bare.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     placed = box_clusters(
         bare.select(*columns), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"),
         reach_x=F.lit(61), reach_y=F.lit(61),

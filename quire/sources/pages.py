@@ -17,7 +17,7 @@ from quire.operators.headings import clean_headings, reclassify_headings
 from quire.operators.lines import drop_noise_lines
 from quire.operators.ordered import first_per
 from quire.operators.paragraphs import unwrap_paragraphs
-from quire.operators.staging import settle
+from quire.operators.staging import settle, stored_table
 
 PAGE_DIR = r"([^/]+)/page_(\d+)/([^/]+)$"
 
@@ -310,11 +310,14 @@ def parse_rules(df: DataFrame, col: str = "raw") -> DataFrame:
     ``_comment`` keys; plus the regex list."""
     v = F.try_parse_json(col)
     plain = "map<string,string>"
-    named = F.coalesce(_get(v, "$.exact_replacements", plain), _get(v, "$.terms", plain))
+    # Read from the text itself: a variant has its keys sorted, and rules count in file order.
+    named = F.coalesce(
+        F.from_json(F.get_json_object(col, "$.exact_replacements"), plain), F.from_json(F.get_json_object(col, "$.terms"), plain)
+    )
     keyed = F.lit(False)
     for k in ("exact_replacements", "terms", "regex_replacements", "regexes"):
         keyed = keyed | _get(v, f"$.{k}", "variant").isNotNull()
-    flat = F.map_filter(_get(v, "$", plain), lambda k, _: ~k.startswith("_comment"))
+    flat = F.map_filter(F.from_json(col, plain), lambda k, _: ~k.startswith("_comment"))
     exact = F.map_entries(F.when(keyed, named).otherwise(flat))
     regex = F.coalesce(
         F.from_json(F.get_json_object(col, "$.regex_replacements"), _REGEX_RULE),
@@ -491,10 +494,7 @@ def write_page_data(items: DataFrame, path: str) -> None:
     other pages of the touched buckets are carried over."""
     spark = items.sparkSession
     fresh = settle(items.withColumn("bucket", _bucket()))
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:
-        stored = None
+    stored = stored_table(spark, path)
     out = fresh
     if stored is not None and "bucket" in stored.columns:
         touched = fresh.select("bucket").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quire import PAGE
 from quire.operators.rules import apply_rules
 from quire.sources.pages import _bucket, read_rules
-from quire.operators.staging import settle
+from quire.operators.staging import settle, stored_table
 
 
 def latest_per_page(arrivals: DataFrame, order: list[str]) -> DataFrame:
@@ -29,10 +29,7 @@ def upsert_pages(arrivals: DataFrame, path: str, order: list[str]) -> None:
     """
     spark = arrivals.sparkSession
     fresh = latest_per_page(arrivals, order).withColumn("bucket", _bucket())
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:
-        stored = None
+    stored = stored_table(spark, path)
     if stored is not None:
         # At most one row per bucket, and their number is fixed.
         touched = fresh.select("bucket").distinct()
