@@ -59,13 +59,29 @@ def _cut(df: DataFrame, keep: list[str]) -> DataFrame:
     return with_fields(words, [*keep, "_words"], F.struct(_shingles(F.col("_words")).alias("_hashes")), ["_hashes"])
 
 
-def _windows(df: DataFrame, keep: list[str], window: int, stride: int, bands: int) -> DataFrame:
-    """``keep``, ``at`` (a window's first shingle, from 0) and ``value``, a row for each window and band."""
-    width = window - SHINGLE + 1
+def _starts(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
+    """``keep``, ``_hashes`` and ``at``, the first shingle of each window, from 0."""
     last = F.greatest(F.size("_hashes") - 1, F.lit(0))
     starts = F.when(F.size("_hashes") > 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    rows = df.select(*keep, "_hashes", F.explode(starts).alias("at"))
-    names = [f"_hash_{k}" for k in range(width)]
+    return df.select(*keep, "_hashes", F.explode(starts).alias("at"))
+
+
+def _starts_near(df: DataFrame, keep: list[str], window: int, stride: int, shingles: DataFrame) -> DataFrame:
+    """The same for windows that hold one of ``shingles(_hash)``; a window can come more than once.
+
+    A band's minimum is the hash of a shingle, so windows meet only if they share one: no meeting is lost.
+    """
+    width = window - SHINGLE + 1
+    rows = df.select(*keep, "_hashes", F.posexplode("_hashes").alias("_pos", "_hash")).join(F.broadcast(shingles), "_hash")
+    low = F.greatest(F.lit(0), F.ceil((F.col("_pos") - width + 1) / stride).cast("int")) * stride
+    high = F.floor(F.col("_pos") / stride).cast("int") * stride
+    rows = rows.where(low <= high)
+    return rows.select(*keep, "_hashes", F.explode(F.sequence(low, high, F.lit(stride))).alias("at"))
+
+
+def _bands(rows: DataFrame, keep: list[str], window: int, bands: int) -> DataFrame:
+    """``keep``, ``at`` and ``value``, a row for each window and band."""
+    names = [f"_hash_{k}" for k in range(window - SHINGLE + 1)]
     rows = rows.select(*keep, "at", *(F.get("_hashes", F.col("at") + k).alias(n) for k, n in enumerate(names)))
     rows = rows.withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
     # The band is part of what is hashed, so a value belongs to one band; nulls, behind a text's end, do not count.
@@ -93,12 +109,15 @@ def scan(
         raise ValueError(f"more than {most_templates} templates")
     known = _cut(known, ["template_id"]).where(F.size("_hashes") > 0)
     # Bounded by the stated list: its windows, one for each word.
-    index = settle(_windows(known, ["template_id"], window, 1, bands).select("template_id", "value").distinct())
+    marks = _bands(_starts(known, ["template_id"], 1), ["template_id"], window, bands)
+    index = settle(marks.select("template_id", "value").distinct())
+    shingles = settle(known.select(F.explode("_hashes").alias("_hash")).distinct())
     longest = known.agg(F.max(F.size("_words"))).first()[0] or 0
 
     own = _cut(docs.select("doc_id", F.col("text").alias("_text")), ["doc_id", "_text"])
     around = F.slice("_words", F.greatest(F.col("at") - longest, F.lit(0)) + 1, F.lit(2 * longest + window))
-    found = _windows(own, ["doc_id", "_text", "_words"], window, stride, bands).join(F.broadcast(index), "value")
+    keep = ["doc_id", "_text", "_words"]
+    found = _bands(_starts_near(own, keep, window, stride, shingles), keep, window, bands).join(F.broadcast(index), "value")
     met = found.select("doc_id", F.xxhash64("_text").alias("_row"), "at", "template_id", around.alias("_around"))
     met = met.groupBy("doc_id", "_row", "at", "template_id").agg(
         F.first("_around").alias("_around")
