@@ -145,27 +145,55 @@ def _display_box(item: Column) -> Column:
     )
 
 
-def parse_display_lines(df: DataFrame, col: str = "raw", depth: int = 6) -> DataFrame:
-    """Lines as the viewer shows them: a ``results`` list, or any object with text found within
-    ``depth`` levels, in document order.  Noise and repeats drop out."""
-    v = F.try_parse_json(col)
-    results = _get(v, "$.results", "array<variant>")
-    level = df.select(*PAGE, F.array().cast("array<int>").alias("at"), v.alias("v")).filter("v IS NOT NULL")
-    rooted = df.select(*PAGE, F.posexplode(results).alias("i", "item")).select(*PAGE, F.array("i").alias("at"), "item")
-    found = rooted
-    top = level.join(rooted.select(*PAGE).distinct(), PAGE, "left_anti")
-    for _ in range(depth):
-        text = F.coalesce(_get(F.col("v"), "$.text", "string"), _get(F.col("v"), "$.Text", "string"))
-        tagged = top.withColumn("_is", F.coalesce(text, F.lit("")).rlike(r"(?U)\S"))
-        found = found.unionByName(tagged.filter("_is").select(*PAGE, "at", F.col("v").alias("item")))
-        rest = tagged.filter("NOT _is")
-        children = F.coalesce(
-            _get(F.col("v"), "$.results", "array<variant>"), _get(F.col("v"), "$", "array<variant>"),
-            F.map_values(_get(F.col("v"), "$", "map<string,variant>")),
+def _nesting(text: Column) -> Column:
+    """How many brackets of a JSON text are open at once at most."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+def _objects_with_text(v: Column, levels: Column) -> Column:
+    """``at, item`` of every outermost object with text below ``v``, whose nesting is ``levels``.
+
+    Each step turns the nodes of one level into those of the next, within the row.
+    """
+    node = F.array().cast("array<struct<at:array<int>,item:variant>>")
+
+    def has_text(n: Column) -> Column:
+        text = F.coalesce(_get(n["item"], "$.text", "string"), _get(n["item"], "$.Text", "string"), F.lit(""))
+        return text.rlike(r"(?U)\S")
+
+    def children(n: Column) -> Column:
+        found = F.coalesce(
+            _get(n["item"], "$.results", "array<variant>"), _get(n["item"], "$", "array<variant>"),
+            F.map_values(_get(n["item"], "$", "map<string,variant>")),
         )
-        top = rest.select(*PAGE, "at", F.posexplode(children).alias("i", "v")).select(
-            *PAGE, F.concat("at", F.array("i")).alias("at"), "v"
+        return F.transform(found, lambda c, i: F.struct(F.concat(n["at"], F.array(i)).alias("at"), c.alias("item")))
+
+    def step(acc: Column, _: Column) -> Column:
+        below = F.transform(F.filter(acc["open"], lambda n: ~has_text(n)), lambda n: F.coalesce(children(n), node))
+        return F.struct(
+            F.concat(acc["found"], F.filter(acc["open"], has_text)).alias("found"), F.flatten(below).alias("open")
         )
+
+    root = F.array(F.struct(F.array().cast("array<int>").alias("at"), v.alias("item")))
+    start = F.struct(node.alias("found"), root.alias("open"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start, step, lambda acc: acc["found"])
+
+
+def parse_display_lines(df: DataFrame, col: str = "raw") -> DataFrame:
+    """Lines as the viewer shows them: a ``results`` list, or any object with text at whatever
+    depth, in document order.  Noise and repeats drop out."""
+    parsed = df.select(*PAGE, F.try_parse_json(col).alias("v"), _nesting(F.col(col)).alias("levels"))
+    results = _get(F.col("v"), "$.results", "array<variant>")
+    listed = F.transform(results, lambda c, i: F.struct(F.array(i).alias("at"), c.alias("item")))
+    nodes = F.when(F.size(results) > 0, listed).otherwise(_objects_with_text(F.col("v"), F.col("levels")))
+    found = parsed.filter("v IS NOT NULL").select(*PAGE, F.explode(nodes).alias("n")).select(*PAGE, "n.at", "n.item")
     item = F.col("item")
     text = F.coalesce(_get(item, "$.text", "string"), _get(item, "$.Text", "string"))
     conf = F.coalesce(_get(item, "$.confidence", "double"), _get(item, "$.Confidence", "double"))
