@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -136,7 +137,8 @@ def fit_rates(
 ) -> tuple[Mix, DataFrame]:
     """The mix, and ``doc_id, n_tokens, posteriors`` of all rows, stored.
 
-    ``weights`` are shares of domains in the mix; steps end when every domain is within ``tolerance`` of the total; a domain not named has 0.  ``total`` is the tokens asked for; by default
+    ``weights`` are shares of domains in the mix; steps end when every domain is within ``tolerance`` of the total, and a ``RuntimeWarning`` tells if ``most_steps`` ended them
+    though another would have helped; a domain not named has 0.  ``total`` is the tokens asked for; by default
     the least at which no domain of positive weight has to be thinned.  Residuals are taken in
     the metric of an inverse Gram matrix of the domains, in which a step of 1 solves the
     unbounded problem at once; the projection keeps rates at 0 or more.  A step is one sum over all rows.
@@ -164,6 +166,16 @@ def fit_rates(
         # The metric of the documents with a positive rate gets there sooner; if it overshot, that of all is safe.
         mix.steps.append(((_inverse(gram) if error < last else whole) @ residual).tolist())
         last = error
+    off = np.abs(residual).max()
+    if step == most_steps and off > tolerance * total:
+        # Only an end that another step would better is worth a word; the best of an unbounded wish is no failure.
+        more = Mix(model, mix.start, [*mix.steps, (whole @ residual).tolist()], mix.targets, [])
+        further = _sums(features, rate(more), size)[0] - targets
+        if float(further @ whole @ further) < error:
+            warnings.warn(
+                f"rates end after {most_steps} steps with a domain {off:.0f} of {total:.0f} tokens off its target; another step would come nearer",
+                RuntimeWarning, stacklevel=2,
+            )
     return mix, features
 
 
@@ -204,7 +216,7 @@ def repeat_rows(docs: DataFrame, labelled: DataFrame, weights: dict[str, float])
     """The rows of ``docs``, each as often as its rate says.
 
     A rate's fraction becomes one more copy by a hash of the row.  A row whose likeliest domain
-    is wanted stays at least once; of the others one with a rate under a half goes.
+    is wanted stays at least once; the others all go, whatever their rate.
     """
     model = fit_domains(docs, labelled, sorted(weights))
     mix, _ = fit_rates(docs, model, weights)
@@ -213,8 +225,8 @@ def repeat_rows(docs: DataFrame, labelled: DataFrame, weights: dict[str, float])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     own = docs.columns
     full = with_posteriors(docs.select(F.struct(*own).alias("_row"), "doc_id", "text"), model).withColumn("_rate", rate(mix))
-    copies = F.when(F.col("_rate") < 1, (F.col("_rate") >= 0.5).cast("int")).otherwise(F.floor(F.col("_rate") + chance).cast("int"))
-    copies = F.greatest(copies, F.element_at(wanted, best).cast("int"))
+    copies = F.greatest(F.lit(1), F.floor(F.col("_rate") + chance).cast("int"))
+    copies = F.when(F.element_at(wanted, best), copies).otherwise(0)
     return full.withColumn("_copies", copies).where("_copies > 0").select(
         "_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))
     ).select("_row.*")
