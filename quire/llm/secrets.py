@@ -18,6 +18,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 #: What the models judge: runs of characters that keys are written in.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+#: The stretches of such runs between the characters that also join words and folders.
+STRETCH = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 8
 
@@ -55,6 +57,20 @@ def with_base_spans(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with a blank for every character of ``spans``, so that positions stay."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        low = F.greatest(acc["at"], s["start"])
+        end = F.greatest(acc["at"], s["end"])
+        kept = F.substring(text, acc["at"] + 1, low - acc["at"])
+        return F.struct(end.alias("at"), F.concat(acc["parts"], F.array(kept, F.repeat(F.lit(" "), end - low))).alias("parts"))
+
+    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, rest)).otherwise(text)
+
+
 def _codes(value: Column) -> Column:
     """Character codes, -1 at both ends turned into the last code."""
     code = lambda c: F.when(F.ascii(c).between(_LOW, _LOW + _WIDTH - 2), F.ascii(c) - _LOW).otherwise(_WIDTH - 1)
@@ -118,9 +134,10 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, least: float
     """The columns of ``docs`` and ``assign, access, hex, markov, secret_spans``.
 
     Each is an array of ``start, kind, end, value`` in code points, end exclusive;
-    ``secret_spans`` has all, by start and kind.  A run of key characters is reported as
-    ``markov`` if it has a letter and a digit, its log-likelihood ratio is at least ``least`` and ``least_mean`` a
-    character, and it touches no span of a fixed pattern.  Columns of ``docs`` with these
+    ``secret_spans`` has all, by start and kind.  The spans of fixed patterns are cut out of the runs of key
+    characters, and what remains of a run is reported as ``markov`` if it has 16 characters and its log-likelihood
+    ratio is at least ``least`` and ``least_mean`` a character; if not, so is each such stretch of it between
+    ``/ = _ -``.  Columns of ``docs`` with these
     names are replaced.  A null or empty text has no spans; rows are judged one by one, so
     repeated rows repeat their result, and an empty table gives none.  Nothing is shuffled.
     """
@@ -131,11 +148,16 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, least: float
     own = [c for c in docs.columns if c not in {*KINDS, "secret_spans"}]
     found = with_base_spans(docs.select(*own), "text")
     base = F.concat("assign", "access", "hex")
-    candidates = _spans(F.coalesce("text", F.lit("")), CANDIDATE, 3)
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    likely = lambda c: mixed(c["value"]) & (score(c["value"]) >= F.greatest(F.lit(least), least_mean * F.char_length(c["value"])))
-    found = found.withColumn("markov", F.filter(F.filter(candidates, free), likely))
+    found = found.withColumn("_rest", _without(F.coalesce("text", F.lit("")), base))
+    found = found.withColumns({"_runs": _spans(F.col("_rest"), CANDIDATE, 3), "_stretches": _spans(F.col("_rest"), STRETCH, 3)}).drop("_rest")
+    likely = lambda c: score(c["value"]) >= F.greatest(F.lit(least), least_mean * F.char_length(c["value"]))
+    found = found.withColumn("markov", F.filter("_runs", likely))
+    within = lambda s, r: (r["start"] <= s["start"]) & (s["end"] <= r["end"])
+    whole = lambda s, r: (r["start"] == s["start"]) & (r["end"] == s["end"])
+    # A stretch that is a run of its own, or lies in one that is reported, is settled already.
+    settled = lambda s: F.exists("markov", lambda r: within(s, r)) | F.exists("_runs", lambda r: whole(s, r))
+    found = found.withColumn("_parts", F.filter("_stretches", lambda s: ~settled(s) & likely(s)))
+    found = found.withColumn("markov", F.array_sort(F.concat("markov", "_parts"))).drop("_runs", "_stretches", "_parts")
     return found.withColumn("secret_spans", F.array_sort(F.concat(base, F.col("markov"))))
 
 
