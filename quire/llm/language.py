@@ -20,7 +20,6 @@ from quire.llm.tokens import with_columns
 from quire.operators.staging import settle
 
 WORD_START = "▁"
-MOST_PIECE = 10
 MOST_WORD = 40  # characters; longer words take the plain loop
 CACHED_WORDS = 150_000
 UNKNOWN = 1e-7  # probability of a character that no piece covers
@@ -35,7 +34,8 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= MOST_PIECE and WORD_START not in p[1:]})
+        self.pieces = sorted({p for p in pieces if p and WORD_START not in p[1:]})
+        self.longest = max(map(len, self.pieces))
         letters = sorted({c for p in self.pieces for c in p})
         #: Code of each character; 0 is any other.
         self.codes = np.zeros(0x110000, np.int32)
@@ -77,7 +77,7 @@ class Vocabulary:
         room = np.repeat(lengths, lengths) - start
         found = []
         nodes, at = self.root[codes], np.arange(len(text))
-        for length in range(1, MOST_PIECE + 1):
+        for length in range(1, self.longest + 1):
             live = nodes >= 0
             nodes, at = nodes[live], at[live]
             piece = self.piece_of[nodes]
@@ -142,12 +142,28 @@ def expected(vocabulary: Vocabulary, model: np.ndarray, words: list[str], weight
     return counts
 
 
+def _expected_word(vocabulary: Vocabulary, model: np.ndarray, word: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of one long word and their expected counts, by forward and backward sums in logarithms."""
+    _, _, s, n, p = vocabulary.matches([word])
+    gain = np.log(np.maximum(model[p], 1e-300))
+    alpha = np.full((len(word) + 1, model.shape[1]), -np.inf)
+    beta = alpha.copy()
+    alpha[0] = beta[-1] = 0.0
+    ends = (s + n).tolist()
+    starts = s.tolist()
+    for k in range(len(starts)):
+        alpha[ends[k]] = np.logaddexp(alpha[ends[k]], alpha[starts[k]] + gain[k])
+    for k in range(len(starts) - 1, -1, -1):
+        beta[starts[k]] = np.logaddexp(beta[starts[k]], beta[ends[k]] + gain[k])
+    return p, np.exp(alpha[s] + gain + beta[s + n] - alpha[-1]) * weights
+
+
 def _log_word(vocabulary: Vocabulary, model: np.ndarray, word: str) -> np.ndarray:
     """The same for one long word, in logarithms, a stretch at a time."""
     out = np.zeros(model.shape[1])
     # Forward values are renormalised at every character.
     lengths, _, s, n, p = vocabulary.matches([word])
-    ring = np.zeros((MOST_PIECE + 1, model.shape[1]))
+    ring = np.zeros((vocabulary.longest + 1, model.shape[1]))
     ring[0] = 1.0
     at = 0
     for i in range(len(word)):
@@ -283,6 +299,10 @@ def _counts(words: DataFrame, languages: list[str], path: str, model: np.ndarray
                 weights = np.zeros((len(part), len(languages)))
                 weights[np.arange(len(part)), [langs[i] for i in part]] = [counts[i] for i in part]
                 sums += expected(vocabulary, shared.value, [texts[i] for i in part], weights)
+            for i in (i for i in range(len(texts)) if len(texts[i]) > MOST_WORD):
+                weights = np.zeros(len(languages))
+                weights[langs[i]] = counts[i]
+                np.add.at(sums, *_expected_word(vocabulary, shared.value, texts[i], weights))
         piece, language = np.nonzero(sums > 1e-9)
         yield pa.record_batch(
             [pa.array(piece), pa.array(language), pa.array(sums[piece, language])], names=["piece", "language", "count"]
