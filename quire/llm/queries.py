@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, licenses, mixing, neighbours, ngram_join, packing, quality, secrets, suffixes, token_files
+from quire.llm import (
+    collocations, language, licenses, mixing, neighbour_votes, neighbours, ngram_join, packing, quality, secrets, suffixes,
+    token_files, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +107,28 @@ def op9_mixing(spark, sf_dir):
 @query("op10_ngram_join")
 def op10_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("node")
+
+
+@query("op11_neighbour_votes")
+def op11_neighbour_votes(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = neighbour_votes.fit(docs.where(~held_out), labels.where(~held_out))
+    return neighbour_votes.with_votes(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+
+@query("op12_collocations")
+def op12_collocations(spark, sf_dir):
+    return collocations.mine(documents(spark, sf_dir))
+
+
+ORACLES["op12_collocations"] = collocations.SQL
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
