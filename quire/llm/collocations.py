@@ -1,10 +1,9 @@
 """Phrase collocation mining with tries of safe candidates (operator 12).
 
-Texts become vectors of word numbers, one row for some megabytes of text, and every position holds a
-state: the number of the frequent phrase that begins there.  Level by level, a phrase of one word
+Texts become vectors of word numbers, and every position holds a state: the number of the frequent phrase that begins there.  Level by level, a phrase of one word
 more is a candidate only where the phrases without its last and without its first word are both
-frequent (Apriori), and where some part of the texts holds its share of the least count (if no part
-did, neither could the whole).  The candidates' edges form a double array: a task moves all
+frequent (Apriori), and where the parts of the texts that tell it leave room for the least count.
+The candidates' edges form a double array: a task moves all
 positions' states along it at once and adds up the accepting ones with bincount; Spark sums the
 tasks' counts.
 
@@ -28,9 +27,10 @@ from quire.operators.ordered import numbered
 from quire.operators.staging import settle
 
 SHARD_BYTES = 4 << 20
-PART = 4 << 20  # positions whose candidates are told together
+PART = 8 << 20  # words whose candidates are told together
 MOST_EDGES = 1 << 19
 LONGEST = 5
+ROW = 1024  # positions of a stored row
 
 COLLOCATIONS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -47,8 +47,70 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(_END, b" \xff ").split()
 
 
+def _key_fields(key: str) -> list[tuple[str, str]]:
+    return [tuple(part.split()) for part in key.split(",")]
+
+
+def _local_schema(key: str) -> str:
+    return f"shard long, at int, {key}, count long, words binary, places binary"
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64()}
+
+
+def _entries(shard: int, key: str, columns: list, counts: np.ndarray) -> pa.RecordBatch:
+    """Keys of a shard and how often each occurs in it; a key's number in the shard is ``at``."""
+    fields = _key_fields(key)
+    n = len(counts)
+    own = [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)]
+    return pa.record_batch(
+        [
+            pa.array(np.full(n, shard)), pa.array(np.arange(n, dtype=np.int32)), *own, pa.array(counts, pa.int64()),
+            pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+        ],
+        names=["shard", "at", *(name for name, _ in fields), "count", "words", "places"],
+    )
+
+
+def _places(shard: int, key: str, words: pa.Array | None, places: pa.Array) -> pa.RecordBatch:
+    """A shard's positions as the numbers of their keys."""
+    fields = _key_fields(key)
+    n = len(places)
+    return pa.record_batch(
+        [
+            pa.array(np.full(n, shard)), pa.nulls(n, pa.int32()), *(pa.nulls(n, _ARROW[kind]) for _, kind in fields),
+            pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()) if words is None else words, places,
+        ],
+        names=["shard", "at", *(name for name, _ in fields), "count", "words", "places"],
+    )
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All int32 values of a binary column in a row, and where each row begins and the last ends."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or data is None:
+        return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.int32, (at[-1] - at[0]) // 4, at[0]), (at - at[0]) // 4
+
+
+def _rows(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The opposite of ``_flat``."""
+    sizes = pa.py_buffer((offsets * 4).astype(np.int64).tobytes())
+    data = pa.py_buffer(np.ascontiguousarray(values, np.int32).tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, sizes, data]).cast(pa.binary())
+
+
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Borders of rows of about ``ROW`` positions; a row ends with the end of a piece, as the last value is one."""
+    ends = np.flatnonzero(values < 0) + 1
+    last = np.flatnonzero(np.diff(ends // ROW, append=-1))
+    return np.concatenate(([0], ends[last]))
+
+
 def _shards(docs: DataFrame) -> DataFrame:
-    """Word vectors: ``shard, keys (lang, word), counts, places``; a place is an index of ``keys``, -1 an end."""
+    """Texts (``lang, text``) as vectors of word numbers that hold for a shard only; -1 ends a piece."""
     key = "lang string, word string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,64 +122,42 @@ def _shards(docs: DataFrame) -> DataFrame:
                 for lang, text in zip(langs[start:end], texts):
                     if text:
                         by_lang.setdefault(lang, []).append(text)
-                keys, counts, places = [], [], []
-                size = 0
+                of, names, counts, places = [], [], [], []
                 for lang, own in by_lang.items():
                     words = split_words(_END.join(own) + _END)
                     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
                     place = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-                    # The end comes last in the numbering and gets no key.
+                    # The end of a piece gets no key.
                     at = number.pop(_END)
                     place = np.where(place == at, -1, np.where(place > at, place - 1, place))
                     counts.append(np.bincount(place[place >= 0], minlength=len(number)))
-                    keys += [{"lang": lang, "word": w.decode()} for w in number]
-                    places.append(np.where(place >= 0, place + size, -1).astype(np.int32))
-                    size += len(number)
-                if size:
-                    yield _local_row(shard, keys, np.concatenate(counts), np.concatenate(places), key)
+                    places.append(np.where(place >= 0, place + len(names), -1).astype(np.int32))
+                    names += [w.decode() for w in number]
+                    of += [lang] * len(number)
+                if names:
+                    yield _entries(shard, key, [of, names], np.concatenate(counts))
+                    values = np.concatenate(places)
+                    yield _places(shard, key, None, _rows(values, _cuts(values)))
                     shard += 1
 
     return docs.mapInArrow(run, _local_schema(key))
 
 
-def _local_schema(key: str) -> str:
-    inner = ", ".join(":".join(part.split()) for part in key.split(","))
-    return f"shard long, keys array<struct<{inner}>>, counts array<long>, places binary"
-
-
-_ARROW = {"string": pa.string(), "long": pa.int64()}
-
-
-def _local_row(shard: int, keys: list[dict], counts: np.ndarray, places: np.ndarray, key: str) -> pa.RecordBatch:
-    struct = pa.struct([(name, _ARROW[kind]) for name, kind in (part.split() for part in key.split(","))])
-    return pa.record_batch(
-        [
-            pa.array([shard]), pa.array([keys], pa.list_(struct)), pa.array([counts], pa.list_(pa.int64())),
-            pa.array([places.tobytes()]),
-        ],
-        names=["shard", "keys", "counts", "places"],
-    )
-
-
-def _ints(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.int32)
-
-
-def _vectors(rows: DataFrame, columns: list[str], schema: str, each: Callable[[], Callable]) -> DataFrame:
-    """Apply a function of a row's vectors, made once a task; it takes the row's shard and its int32 ``columns``."""
+def _vectors(rows: DataFrame, schema: str, each: Callable[[], Callable]) -> DataFrame:
+    """Apply a function of all words, states and row borders of a batch; made once a task, it is called with None at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         act = each()
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = act(batch.column(0)[i].as_py(), *(_ints(batch.column(c + 1)[i]) for c in range(len(columns))))
-                if found is not None:
-                    yield found
-        last = act(None, *([None] * len(columns)))
+            words, borders = _flat(batch.column(0))
+            states, _ = _flat(batch.column(1))
+            found = act(words, states, borders)
+            yield from () if found is None else [found] if isinstance(found, pa.RecordBatch) else found
+        last = act(None, None, None)
         if last is not None:
             yield last
 
-    return rows.select("shard", *columns).mapInArrow(run, schema)
+    return rows.select("words", "states").mapInArrow(run, schema)
 
 
 def _numbered_names(counted: DataFrame, chunk: Column, order: list[Column]) -> DataFrame:
@@ -131,32 +171,49 @@ def _name(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Number the keys that occur ``minimum`` times or more over all shards.
 
-    Returns all keys' counts, ``key, f, number`` of the frequent ones, and ``shard, states``: each
+    Returns all keys' counts, ``key, f, number`` of the frequent ones, and ``words, states``: each
     position's number, -1 where there is no frequent key.
     """
-    each = local.select("shard", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "own")).select(
-        "shard", "at", *(F.col(f"own.keys.{k}").alias(k) for k in key), F.col("own.counts").alias("count")
-    )
-    counts = each.groupBy(*key).agg(F.sum("count").alias("f"))
-    counts = settle(counts)
+    entries = local.where("places IS NULL")
+    counts = settle(entries.groupBy(*key).agg(F.sum("count").alias("f")))
     names = _numbered_names(counts.where(F.col("f") >= minimum), chunk, order)
-    own = each.join(names, key).groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("map"))
-    rows = local.select("shard", "places").join(own, "shard", "left")
+    nothing = F.lit(None)
+    known = entries.join(names.select(*key, "number"), key).select(
+        "shard", F.lit(0).alias("kind"), "at", "number", nothing.cast("binary").alias("words"), nothing.cast("binary").alias("places")
+    )
+    vectors = local.where("places IS NOT NULL").select(
+        "shard", F.lit(1).alias("kind"), nothing.cast("int").alias("at"), nothing.cast("long").alias("number"), "words", "places"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's known keys come first; they are laid out once and looked up by all its rows."""
+        current, held, table = None, [], np.zeros(0, np.int32)
         for batch in batches:
-            for i in range(batch.num_rows):
-                place = _ints(batch.column(1)[i])
-                known = batch.column(2)[i].values
-                state = np.full(int(place.max(initial=-1)) + 2, -1, np.int32)
-                if known is not None:
-                    state[known.field("at").to_numpy()] = known.field("number").to_numpy()
+            shards = batch.column(0).to_numpy()
+            begins = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))) if len(shards) else []
+            for begin, end in zip(begins, [*begins[1:], len(shards)]):
+                if shards[begin] != current:
+                    current, held, table = shards[begin], [], np.zeros(0, np.int32)
+                own = batch.slice(begin, end - begin)
+                first = int(np.count_nonzero(own.column(1).to_numpy() == 0))
+                if first:
+                    held.append((own.column(2).slice(0, first).to_numpy(), own.column(3).slice(0, first).to_numpy()))
+                if first == own.num_rows:
+                    continue
+                own = own.slice(first)
+                places, borders = _flat(own.column(5))
                 # The last cell is never a place: -1 stays -1.
-                yield pa.record_batch(
-                    [batch.column(0).slice(i, 1), pa.array([state[place].tobytes()])], names=["shard", "states"]
-                )
+                room = int(max([places.max(), *(at.max() for at, _ in held)])) + 2
+                if room > len(table):
+                    table = np.full(room, -1, np.int32)
+                    for at, number in held:
+                        table[at] = number
+                states = _rows(table[places], borders)
+                words = own.column(4) if own.column(4).null_count == 0 else states
+                yield pa.record_batch([words, states], names=["words", "states"])
 
-    return counts, names, rows.select("shard", "places", "map").mapInArrow(run, "shard long, states binary")
+    ordered = known.unionByName(vectors).repartition("shard").sortWithinPartitions("shard", "kind")
+    return counts, names, ordered.mapInArrow(run, "words binary, states binary")
 
 
 class DoubleArray:
@@ -213,10 +270,17 @@ def _advance(trie: DoubleArray, words: np.ndarray, states: np.ndarray, width: in
     return out
 
 
-def _candidates(rows: DataFrame, width: int, least: int) -> DataFrame:
-    """``prefix, suffix, last``: pairs of frequent phrases that meet in a phrase of ``width`` words, and
-    occur ``least`` times in some part."""
-    schema = "prefix long, suffix long, last long"
+def _candidates(rows: DataFrame, width: int, minimum: int, n_words: int) -> DataFrame:
+    """``prefix, suffix, last``: pairs of frequent phrases that meet in a phrase of ``width`` words and may
+    occur ``minimum`` times.
+
+    A part (some million positions of a task) tells only the phrases that it holds ``least`` times or more; a
+    part that does not tell one holds it ``least - 1`` times at most.  What is told and what may be
+    untold bound a phrase's count from above, and no phrase that reaches ``minimum`` is missed.
+    """
+    parts = n_words // PART + rows.rdd.getNumPartitions()
+    least = -(-minimum // max(parts, 1))
+    schema = "prefix long, suffix long, last long, count long"
 
     def each() -> Callable:
         held: list[np.ndarray] = []
@@ -224,37 +288,35 @@ def _candidates(rows: DataFrame, width: int, least: int) -> DataFrame:
 
         def tell() -> pa.RecordBatch | None:
             nonlocal size
+            size = 0
             if not held:
                 return None
-            codes, counts = np.unique(np.concatenate(held, axis=1)[0], return_counts=True)
-            words = dict(zip(*(x.tolist() for x in _first_words(held)))) if width > 2 else None
+            codes, last = np.concatenate(held, axis=1)
             held.clear()
-            size = 0
-            codes = codes[counts >= least]
-            suffix = codes & 0xFFFFFFFF
-            last = suffix if words is None else np.array([words[s] for s in suffix.tolist()], np.int64)
-            return pa.record_batch([codes >> 32, suffix, last], names=["prefix", "suffix", "last"])
+            codes, first, counts = np.unique(codes, return_index=True, return_counts=True)
+            some = counts >= least
+            codes, last = codes[some], last[first[some]]
+            return pa.record_batch(
+                [codes >> 32, codes & 0xFFFFFFFF, last, counts[some]], names=["prefix", "suffix", "last", "count"]
+            )
 
-        def act(shard: int | None, words: np.ndarray, states: np.ndarray) -> pa.RecordBatch | None:
+        def act(words: np.ndarray | None, states: np.ndarray, borders: np.ndarray) -> pa.RecordBatch | None:
             nonlocal size
-            if shard is None:
+            if words is None:
                 return tell()
             at = np.flatnonzero((states[:-1] >= 0) & (states[1:] >= 0))
             codes = (states[at].astype(np.int64) << 32) | states[at + 1]
             held.append(np.stack([codes, words[at + width - 1].astype(np.int64)]))
-            size += len(words)
+            size += int(np.count_nonzero(words >= 0))
             return tell() if size >= PART else None
 
         return act
 
-    return _vectors(rows, ["words", "states"], schema, each).distinct()
-
-
-def _first_words(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each suffix in the held codes with its last word."""
-    codes, last = np.concatenate(held, axis=1)
-    suffix, first = np.unique(codes & 0xFFFFFFFF, return_index=True)
-    return suffix, last[first]
+    told = _vectors(rows, schema, each).groupBy("prefix", "suffix", "last").agg(
+        F.sum("count").alias("told"), F.count(F.lit(1)).alias("parts")
+    )
+    most = F.col("told") + (parts - F.col("parts")) * (least - 1)
+    return told.filter(most >= minimum).select("prefix", "suffix", "last")
 
 
 def _counts(rows: DataFrame, trie: DoubleArray, keys: np.ndarray, width: int) -> DataFrame:
@@ -266,8 +328,8 @@ def _counts(rows: DataFrame, trie: DoubleArray, keys: np.ndarray, width: int) ->
         trie, keys = shared.value
         total = np.zeros(len(keys), np.int64)
 
-        def act(shard: int | None, words: np.ndarray, states: np.ndarray) -> pa.RecordBatch | None:
-            if shard is None:
+        def act(words: np.ndarray | None, states: np.ndarray, borders: np.ndarray) -> pa.RecordBatch | None:
+            if words is None:
                 some = np.flatnonzero(total)
                 return pa.record_batch([*keys[some].T, total[some]], names=["prefix", "suffix", "last", "count"])
             found = _advance(trie, words, states, width)
@@ -276,7 +338,7 @@ def _counts(rows: DataFrame, trie: DoubleArray, keys: np.ndarray, width: int) ->
 
         return act
 
-    own = _vectors(rows, ["words", "states"], schema, each)
+    own = _vectors(rows, schema, each)
     return own.groupBy("prefix", "suffix", "last").agg(F.sum("count").alias("f"))
 
 
@@ -286,17 +348,15 @@ def _moved(rows: DataFrame, trie: DoubleArray, width: int) -> DataFrame:
     def each() -> Callable:
         trie = shared.value
 
-        def act(shard: int | None, words: np.ndarray, states: np.ndarray) -> pa.RecordBatch | None:
-            if shard is None:
+        def act(words: np.ndarray | None, states: np.ndarray, borders: np.ndarray) -> pa.RecordBatch | None:
+            if words is None:
                 return None
             found = _advance(trie, words, states, width)
-            return pa.record_batch(
-                [pa.array([shard]), pa.array([words.tobytes()]), pa.array([found.tobytes()])], names=["shard", "words", "states"]
-            )
+            return pa.record_batch([_rows(words, borders), _rows(found, borders)], names=["words", "states"])
 
         return act
 
-    return _vectors(rows, ["words", "states"], "shard long, words binary, states binary", each)
+    return _vectors(rows, "words binary, states binary", each)
 
 
 def _pairs(rows: DataFrame, width: int) -> DataFrame:
@@ -304,21 +364,27 @@ def _pairs(rows: DataFrame, width: int) -> DataFrame:
     key = "prefix long, suffix long, last long"
 
     def each() -> Callable:
-        def act(shard: int | None, words: np.ndarray, states: np.ndarray) -> pa.RecordBatch | None:
-            if shard is None:
+        shard = TaskContext.get().partitionId() << 32
+
+        def act(words: np.ndarray | None, states: np.ndarray, borders: np.ndarray) -> list[pa.RecordBatch] | None:
+            nonlocal shard
+            if words is None:
                 return None
             at = np.flatnonzero((states[:-1] >= 0) & (states[1:] >= 0))
             codes = (states[at].astype(np.int64) << 32) | states[at + 1]
             distinct, first, inverse, counts = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-            last = words[at[first] + width - 1].tolist()
-            keys = [{"prefix": c >> 32, "suffix": c & 0xFFFFFFFF, "last": w} for c, w in zip(distinct.tolist(), last)]
+            last = words[at[first] + width - 1].astype(np.int64)
             places = np.full(len(states), -1, np.int32)
             places[at] = inverse
-            return _local_row(shard, keys, counts, places, key)
+            shard += 1
+            return [
+                _entries(shard, key, [distinct >> 32, distinct & 0xFFFFFFFF, last], counts),
+                _places(shard, key, _rows(words, borders), _rows(places, borders)),
+            ]
 
         return act
 
-    return _vectors(rows, ["words", "states"], _local_schema(key), each)
+    return _vectors(rows, _local_schema(key), each)
 
 
 def _level(
@@ -330,9 +396,7 @@ def _level(
     """
     order = [F.col("prefix"), F.col("suffix")]
     chunk = F.floor(F.col("prefix") / 4096)
-    # A phrase seen ``minimum`` times is seen its share of times in at least one part.
-    parts = n_words // PART + rows.rdd.getNumPartitions()
-    found = settle(_candidates(rows, width, -(-minimum // max(parts, 1))))
+    found = settle(_candidates(rows, width, minimum, n_words))
     if found.count() <= most and max(n_before, n_symbols) <= 4 * most:
         keys = np.array([tuple(r) for r in found.orderBy("prefix", "suffix").toPandas().to_numpy()], np.int64).reshape(-1, 3)
         trie = DoubleArray(keys[:, 0], keys[:, 2], n_before)
@@ -342,7 +406,7 @@ def _level(
         return names, settle(_moved(rows, trie, width), "zstd")
     pairs = settle(_pairs(rows, width), "zstd")
     _, names, states = _name(pairs, ["prefix", "suffix", "last"], order, chunk, minimum)
-    return names, settle(rows.select("shard", "words").join(states, "shard"), "zstd")
+    return names, settle(states, "zstd")
 
 
 def frequent_phrases(
@@ -370,7 +434,7 @@ def frequent_phrases(
             none.alias("prefix"), none.alias("suffix"),
         )
     ]
-    rows = settle(states.select("shard", F.col("states").alias("words"), "states"), "zstd")
+    rows = settle(states, "zstd")
     n_words, n_symbols = counts.agg(F.sum("f")).first()[0] or 0, 0
     for width in range(2, longest + 1):
         n_before = names.count()
