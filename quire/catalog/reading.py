@@ -6,6 +6,7 @@ from quire import PAGE
 from quire.catalog.base import SPACE, d_strip, query
 from quire.catalog.lines import LINES, blocks
 from quire.functions import text as T
+from quire.operators.grouping import group_along
 from quire.operators import lines as L
 from quire.operators import paragraphs as P
 from quire.operators import reading as O
@@ -156,6 +157,47 @@ def _(spark, sf):
     return P.format_paragraphs(X.ocr_lines(spark, sf))
 
 
+# --- rows on crowded pages -------------------------------------------------------------
+
+# Lines of four pages on one and rows 9 px apart, so that rows drift into one another and lines overlap.
+CROWDED = """crowded AS (SELECT doc_id, CAST((page_no - 1) // 4 AS INT) AS page_no, line_id, x AS lo, x + width AS hi,
+    2 * CAST(80 + 9 * ((line_id % 30) % 15) + (line_id * 7) % 5 AS BIGINT) + height AS c2, height * 0.7 AS reach
+  FROM ocr_lines WHERE NOT is_vertical)"""
+
+
+@query(
+    "group_rows_crowded",
+    # One recursion step takes the next line of every page into the nearest free group, in plain lists.
+    f"""WITH RECURSIVE {LINES}, {CROWDED},
+    i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY c2, line_id) AS k FROM crowded),
+    walk AS (
+      SELECT DISTINCT doc_id, page_no, CAST(0 AS BIGINT) AS k,
+        CAST([] AS STRUCT(t BIGINT, n BIGINT, r DOUBLE, m STRUCT(id BIGINT, lo BIGINT, hi BIGINT)[])[]) AS gs FROM i
+      UNION ALL
+      SELECT doc_id, page_no, k, CASE WHEN best IS NULL
+          THEN list_append(gs, {{'t': c2, 'n': CAST(1 AS BIGINT), 'r': reach, 'm': [me]}})
+          ELSE list_transform(gs, lambda g, j: CASE WHEN j = best
+            THEN {{'t': g.t + c2, 'n': g.n + 1, 'r': least(g.r, reach), 'm': list_append(g.m, me)}} ELSE g END) END
+      FROM (SELECT *, {{'id': CAST(line_id AS BIGINT), 'lo': CAST(lo AS BIGINT), 'hi': CAST(hi AS BIGINT)}} AS me,
+              list_min(list_filter(list_transform(gs, lambda g, j: CASE WHEN abs(c2 - g.t / g.n) < least(reach, g.r)
+                AND len(list_filter(g.m, lambda e: greatest(lo, e.lo) < least(hi, e.hi))) = 0
+                THEN {{'d': abs(c2 - g.t / g.n), 'j': j}} END), lambda e: e IS NOT NULL)).j AS best
+            FROM (SELECT i.*, w.gs FROM walk w JOIN i ON i.doc_id = w.doc_id AND i.page_no = w.page_no AND i.k = w.k + 1)))
+    SELECT doc_id, page_no, e.id AS line_id, g.m[1].id AS first_id FROM (
+      SELECT doc_id, page_no, g, unnest(g.m) AS e FROM (
+        SELECT doc_id, page_no, unnest(gs) AS g FROM walk QUALIFY k = max(k) OVER (PARTITION BY doc_id, page_no)))""",
+)
+def _(spark, sf):
+    lines = X.ocr_lines(spark, sf).filter("NOT is_vertical").selectExpr(
+        "doc_id", "cast((page_no - 1) div 4 as int) AS page_no", "cast(line_id as bigint) AS line_id", "x AS lo", "x + width AS hi",
+        "2 * (80 + 9 * ((line_id % 30) % 15) + (line_id * 7) % 5) + height AS c2", "height * 0.7D AS reach",
+    )
+    rows = group_along(lines, PAGE, "line_id", F.col("c2"), F.col("reach"), F.col("lo"), F.col("hi"))
+    entered = rows.join(lines.select(*PAGE, "line_id", "c2"), [*PAGE, "line_id"])
+    first = entered.groupBy(*PAGE, "band", "grp").agg(F.min_by("line_id", F.struct("c2", "line_id")).alias("first_id"))
+    return rows.join(first, [*PAGE, "band", "grp"]).select(*PAGE, "line_id", "first_id")
+
+
 # --- simple order --------------------------------------------------------------------
 
 @query("simple_reading_order")

@@ -44,6 +44,34 @@ def band_join(
     )
 
 
+def grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_box: tuple[Column, Column, Column, Column],
+    right_box: tuple[Column, Column, Column, Column],
+    condition: Column,
+    keys: list[str] = PAGE,
+    cell: int = 256,
+) -> DataFrame:
+    """Inner join of pairs whose boxes ``(x1, y1, x2, y2)`` touch and that meet ``condition``.
+
+    Both sides are cut into square cells; a pair counts only in the one cell that holds the upper left
+    corner of what they share, so a page that is crowded in both directions is spread over its
+    cells and no ``distinct`` is needed.  Columns other than ``keys`` must differ in name.
+    """
+
+    def cells(df: DataFrame, box: tuple[Column, Column, Column, Column], p: str) -> DataFrame:
+        x1, y1, x2, y2 = box
+        out = df.withColumns({f"_{p}x": span(x1, cell), f"_{p}y": span(y1, cell)})
+        across = F.explode(F.sequence(F.col(f"_{p}x"), F.greatest(span(x2, cell), F.col(f"_{p}x"))))
+        down = F.explode(F.sequence(F.col(f"_{p}y"), F.greatest(span(y2, cell), F.col(f"_{p}y"))))
+        return out.withColumn("_gx", across).withColumn("_gy", down)
+
+    pairs = cells(left, left_box, "l").join(cells(right, right_box, "r"), [*keys, "_gx", "_gy"])
+    own = (F.col("_gx") == F.greatest("_lx", "_rx")) & (F.col("_gy") == F.greatest("_ly", "_ry"))
+    return pairs.filter(own & condition).drop("_gx", "_gy", "_lx", "_ly", "_rx", "_ry")
+
+
 def band_anti(
     left: DataFrame,
     right: DataFrame,

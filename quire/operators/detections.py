@@ -2,17 +2,22 @@
 
 The merging rules are greedy and depend on order, so they run in Python, but only on the
 parts of a page where boxes come near one another; a page is first cut at every gap no
-rule can bridge, and boxes on their own never leave the JVM.
+rule can bridge, and boxes on their own never leave the JVM.  Within a part a grid of cells
+finds the boxes near a place, so a box is held against its neighbours and not against all.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from collections.abc import Iterable, Iterator
+from heapq import merge
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import PAGE
 from quire.functions.geometry import LINE_CLASSES
-from quire.operators.bands import band_anti, band_join, box_clusters, prefixed
+from quire.operators.bands import band_anti, box_clusters, grid_join, prefixed
 from quire.operators.staging import per_group, settle
 
 PART = [*PAGE, "_cy", "_cx"]
@@ -30,6 +35,50 @@ def _crowded(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sized.filter("_n = 1").drop("_n"), sized.filter("_n > 1").drop("_n")
 
 
+class Grid:
+    """Numbered boxes by the cells they touch; cells are as large as the boxes are on average."""
+
+    def __init__(self, boxes: Iterable[tuple]):
+        boxes = list(boxes)
+        n = max(1, len(boxes))
+        self.wide = max(1, sum(max(0, b[2] - b[0]) for b in boxes) // n)
+        self.tall = max(1, sum(max(0, b[3] - b[1]) for b in boxes) // n)
+        self.cells: dict[tuple, list[int]] = {}
+
+    def _touched(self, box: tuple) -> Iterator[tuple]:
+        x1, y1, x2, y2 = box
+        for i in range(int(x1 // self.wide), int(max(x1, x2) // self.wide) + 1):
+            for j in range(int(y1 // self.tall), int(max(y1, y2) // self.tall) + 1):
+                yield i, j
+
+    def add(self, number: int, box: tuple) -> None:
+        for cell in self._touched(box):
+            own = self.cells.setdefault(cell, [])
+            if not own or own[-1] < number:
+                own.append(number)
+            elif number not in own:
+                insort(own, number)
+
+    def drop(self, number: int, box: tuple) -> None:
+        for cell in self._touched(box):
+            own = self.cells[cell]
+            del own[bisect_right(own, number) - 1]
+
+    def near(self, box: tuple, after: int = -1) -> Iterator[int]:
+        """Numbers beyond ``after``, ascending, of boxes that share a cell with ``box``."""
+        lists = [own for cell in self._touched(box) if (own := self.cells.get(cell)) and own[-1] > after]
+        last = after
+        for number in merge(*(_from(own, after) for own in lists)):
+            if number > last:
+                last = number
+                yield number
+
+
+def _from(numbers: list[int], after: int) -> Iterator[int]:
+    for at in range(bisect_right(numbers, after), len(numbers)):
+        yield numbers[at]
+
+
 def resolve_duplicate_lines(
     lines: DataFrame, cross: float = 0.4, along: float = 0.5, extra_chars: int = 3
 ) -> DataFrame:
@@ -47,11 +96,15 @@ def resolve_duplicate_lines(
 
     def settle_part(rows: list[tuple]) -> list[tuple]:
         conf = [r[9] for r in rows]
+        boxes = [(r[5], r[6], r[5] + r[7], r[6] + r[8]) for r in rows]
         alive = [True] * len(rows)
+        grid = Grid(boxes)
+        for i, box in enumerate(boxes):
+            grid.add(i, box)
         for i, a in enumerate(rows):
-            if not alive[i]:
-                continue
-            for j in range(i + 1, len(rows)):
+            # A line meets its later neighbours; each meeting ends one of the two, which leaves the grid.
+            ended = []
+            for j in grid.near(boxes[i], after=i) if alive[i] else ():
                 b = rows[j]
                 if not alive[j] or not _same_place(a, b, cross, along):
                     continue
@@ -64,6 +117,9 @@ def resolve_duplicate_lines(
                     conf[j], alive[i] = top, False
                     break
                 conf[i], alive[j] = top, False
+                ended.append(j)
+            for j in ended:
+                grid.drop(j, boxes[j])
         return [(r[0], r[1], r[4], c) for r, c, ok in zip(rows, conf, alive) if ok]
 
     settled = per_group(
@@ -107,10 +163,23 @@ def merge_detections(
 
     def greedy(rows: list[tuple]) -> list[tuple]:
         kept: list[dict] = []
+        grids: dict[int, Grid] = {}
+        corners = [r[5:9] for r in rows]
         for row in rows:
             box = dict(zip(columns, row[:2] + row[4:11]))
-            if not _absorbed(box, kept, iou, containment, coverage, gap):
+            # Pieces of lines of all classes may meet; other boxes only meet their own class.
+            kind = -1 if box["class_index"] in LINE_CLASSES else box["class_index"]
+            if kind not in grids:
+                grids[kind] = Grid(corners)
+            grid = grids[kind]
+            around = (kept[i] for i in grid.near(_reach(box, kind == -1, gap)))
+            taker, widened = _taker(box, around, iou, containment, coverage, gap)
+            if taker is None:
+                box["_at"] = len(kept)
                 kept.append(box)
+                grid.add(box["_at"], _corners(box))
+            elif widened:
+                grid.add(taker["_at"], _corners(taker))
         return [tuple(k[c] for c in columns) for k in kept]
 
     ranked = near.select(
@@ -121,61 +190,102 @@ def merge_detections(
     return alone.select(*columns).unionByName(merged)
 
 
-def _absorbed(box: dict, kept: list[dict], iou, containment, coverage, gap) -> bool:
-    """Does a kept box take this one in?  May widen that kept box."""
-    w, h = max(1, box["x2"] - box["x1"]), max(1, box["y2"] - box["y1"])
-    area, flat = w * h, w >= h
-    is_line = box["class_index"] in LINE_CLASSES
-    covered = 0.0
+def _corners(box: dict) -> tuple:
+    return box["x1"], box["y1"], box["x2"], box["y2"]
+
+
+def _reach(box: dict, line: bool, gap: int) -> tuple:
+    """Where a box may meet others: a line also across ``gap`` at its ends."""
+    x1, y1, x2, y2 = _corners(box)
+    if not line:
+        return x1, y1, x2, y2
+    if max(1, x2 - x1) >= max(1, y2 - y1):
+        return x1 - gap, y1, x2 + gap, y2
+    return x1, y1 - gap, x2, y2 + gap
+
+
+def _taker(box: dict, kept: Iterable[dict], iou, containment, coverage, gap) -> tuple[dict | None, bool]:
+    """The kept box that takes this one in, if any, and whether that widened it.
+
+    ``kept`` are boxes near it, strongest first.  A box that several cover together is taken by the last of them.
+    """
+    area = _size(box, "x") * _size(box, "y")
+    line = box["class_index"] in LINE_CLASSES
+    covered, last = 0.0, None
     for k in kept:
-        both_lines = is_line and k["class_index"] in LINE_CLASSES
-        if box["class_index"] != k["class_index"] and not both_lines:
+        if line and k["class_index"] in LINE_CLASSES and _pieces_of_one(box, k, gap):
+            return k, _stretch(k, box)
+        if box["class_index"] != k["class_index"] and not (line and k["class_index"] in LINE_CLASSES):
             continue
-        kw, kh = max(1, k["x2"] - k["x1"]), max(1, k["y2"] - k["y1"])
-        sx = max(0, min(box["x2"], k["x2"]) - max(box["x1"], k["x1"]))
-        sy = max(0, min(box["y2"], k["y2"]) - max(box["y1"], k["y1"]))
-        if both_lines and (kw >= kh if flat else kh > kw):
-            # Read along the line: m is the main axis, c the cross axis.
-            m, c = ("x", "y") if flat else ("y", "x")
-            size, k_size, thick, k_thick = (w, kw, h, kh) if flat else (h, kh, w, kw)
-            shared_m, shared_c = (sx, sy) if flat else (sy, sx)
-            off = abs((box[c + "1"] + box[c + "2"]) / 2 - (k[c + "1"] + k[c + "2"]) / 2)
-            thin = min(thick, k_thick)
-            aligned = off <= max(8.0, thin * 0.35) and shared_c / thin >= 0.5
-            if aligned and 0.5 <= thick / k_thick <= 1.8:
-                along = shared_m / min(size, k_size)
-                apart = max(0, max(box[m + "1"], k[m + "1"]) - min(box[m + "2"], k[m + "2"]))
-                inside = (along if flat else shared_c / thin) > 0.6
-                if apart < gap or (along > 0 and not inside):
-                    longer = box[m + "1"] < k[m + "1"] - 25 or box[m + "2"] > k[m + "2"] + 25
-                    if longer and box["confidence"] >= 0.35:
-                        if size > k_size * 1.3:
-                            k[c + "1"], k[c + "2"] = box[c + "1"], box[c + "2"]
-                        elif not k_size > size * 1.3:
-                            for e in "12":
-                                k[c + e] = int(round((k[c + e] + box[c + e]) / 2))
-                        k[m + "1"] = min(k[m + "1"], box[m + "1"])
-                        k[m + "2"] = max(k[m + "2"], box[m + "2"])
-                        k["confidence"] = max(k["confidence"], box["confidence"])
-                    return True
-        shared = sx * sy
-        if shared > 0:
-            union = area + kw * kh - shared
-            if (union > 0 and shared / union > iou) or (
-                shared / area > containment and k["confidence"] >= box["confidence"]
-            ):
-                return True
-            covered += shared
-    return covered / area > coverage
+        shared = _shared(box, k, "x") * _shared(box, k, "y")
+        if shared <= 0:
+            continue
+        union = area + _size(k, "x") * _size(k, "y") - shared
+        stronger = k["confidence"] >= box["confidence"]
+        if (union > 0 and shared / union > iou) or (stronger and shared / area > containment):
+            return k, False
+        covered, last = covered + shared, k
+    return (last, False) if covered / area > coverage else (None, False)
+
+
+def _size(box: dict, axis: str) -> int:
+    return max(1, box[axis + "2"] - box[axis + "1"])
+
+
+def _shared(a: dict, b: dict, axis: str) -> int:
+    return max(0, min(a[axis + "2"], b[axis + "2"]) - max(a[axis + "1"], b[axis + "1"]))
+
+
+def _axes(box: dict) -> tuple[str, str]:
+    """The axis a line runs along, and the one across."""
+    return ("x", "y") if _size(box, "x") >= _size(box, "y") else ("y", "x")
+
+
+def _pieces_of_one(a: dict, b: dict, gap: int) -> bool:
+    """Two boxes of one line: same direction, level, of like thickness, and close along it."""
+    m, c = _axes(a)
+    if _axes(b) != (m, c):
+        return False
+    thin, thick = sorted((_size(a, c), _size(b, c)))
+    off = abs((a[c + "1"] + a[c + "2"]) - (b[c + "1"] + b[c + "2"])) / 2
+    if off > max(8.0, thin * 0.35) or _shared(a, b, c) / thin < 0.5:
+        return False
+    if not 0.5 <= _size(a, c) / _size(b, c) <= 1.8:
+        return False
+    apart = max(0, max(a[m + "1"], b[m + "1"]) - min(a[m + "2"], b[m + "2"]))
+    along = _shared(a, b, m) / min(_size(a, m), _size(b, m))
+    inside = (along if m == "x" else _shared(a, b, c) / thin) > 0.6
+    return apart < gap or (along > 0 and not inside)
+
+
+def _stretch(kept: dict, box: dict) -> bool:
+    """Let a kept piece reach over another one that is sure enough and clearly longer at an end."""
+    m, c = _axes(box)
+    longer = box[m + "1"] < kept[m + "1"] - 25 or box[m + "2"] > kept[m + "2"] + 25
+    if not longer or box["confidence"] < 0.35:
+        return False
+    size, own = _size(box, m), _size(kept, m)
+    # The much longer piece sets the edges across; pieces of like length share them.
+    for e in "12":
+        if size > own * 1.3:
+            kept[c + e] = box[c + e]
+        elif own <= size * 1.3:
+            kept[c + e] = int(round((kept[c + e] + box[c + e]) / 2))
+    kept[m + "1"], kept[m + "2"] = min(kept[m + "1"], box[m + "1"]), max(kept[m + "2"], box[m + "2"])
+    kept["confidence"] = max(kept["confidence"], box["confidence"])
+    return True
+
 
+def box_overlap_scores(dets: DataFrame, least: float = 0.0) -> DataFrame:
+    """Overlap score of every overlapping pair: IoU, or 0.85 of the share of the smaller box.
 
-def box_overlap_scores(dets: DataFrame) -> DataFrame:
-    """Overlap score of every overlapping pair: IoU, or 0.85 of the share of the smaller box."""
+    Pairs that score below ``least`` are left out.
+    """
     a, b = prefixed(dets, "a_"), prefixed(dets, "b_")
     sx = F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")
     sy = F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1")
-    pairs = band_join(
-        a, b, (F.col("a_y1"), F.col("a_y2")), (F.col("b_y1"), F.col("b_y2")),
+    pairs = grid_join(
+        a, b, tuple(F.col(f"a_{e}") for e in ("x1", "y1", "x2", "y2")), tuple(F.col(f"b_{e}") for e in ("x1", "y1", "x2", "y2")),
         (F.col("a_det_id") < F.col("b_det_id")) & (sx > 0) & (sy > 0),
     )
     shared = (sx * sy).cast("double")
@@ -185,7 +295,8 @@ def box_overlap_scores(dets: DataFrame) -> DataFrame:
 
     union = area("a_") + area("b_") - shared
     score = F.greatest(shared / union, shared / F.least(area("a_"), area("b_")) * 0.85)
-    return pairs.select(*PAGE, F.col("a_det_id").alias("id_a"), F.col("b_det_id").alias("id_b"), score.alias("score"))
+    found = pairs.select(*PAGE, F.col("a_det_id").alias("id_a"), F.col("b_det_id").alias("id_b"), score.alias("score"))
+    return found.filter(F.col("score") >= least) if least > 0 else found
 
 
 def union_detections(blocks: DataFrame, lines: DataFrame) -> DataFrame:
@@ -242,13 +353,17 @@ def _wrap_lines(bare: DataFrame) -> DataFrame:
 
     def first_come(rows: list[tuple]) -> list[tuple]:
         takes: list[tuple] = []
+        grid = Grid(r[5:9] for r in rows)
         for r in rows:
             x1, y1, x2, y2 = r[5:9]
+            # A block that encloses the line also holds its centre, with 60 px to spare.
+            centre = ((x1 + x2) / 2, (y1 + y2) / 2) * 2
             if not any(
                 max(0, t[3] - 10) <= x1 + 50 and max(0, t[4] - 10) <= y1 + 50
                 and t[5] + 10 >= x2 - 50 and t[6] + 10 >= y2 - 50
-                for t in takes
+                for t in (takes[i] for i in grid.near(centre))
             ):
+                grid.add(len(takes), (x1 - 60, y1 - 60, x2 + 60, y2 + 60))
                 takes.append(r[:2] + r[4:11])
         return takes
 

@@ -1,124 +1,21 @@
 """Reading order: rows and columns of a page, decks, spreads and user regions.
 
-Lines are grouped greedily into rows (or columns) whose running mean they lie close to.
-The page is first cut wherever neighbouring centres lie too far apart for any rule to
-join them.  Such a band is nearly always one plain row, which SQL settles; only bands
-where lines overlap or the mean drifts go through the Python loop.
+Lines are grouped greedily into rows (or columns) whose running mean they lie close to; see
+``grouping``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import PAGE
 from quire.functions.text import clean_runaway, is_blank
 from quire.operators.bands import band_join
+from quire.operators.grouping import group_along
 from quire.operators.lines import dedupe_lines, detect_decks, page_direction
 from quire.operators.ordered import numbered, span
-from quire.operators.staging import per_group, settle
-
-
-def group_along(
-    items: DataFrame,
-    keys: list[str],
-    ordinal: str,
-    center2: Column,
-    reach: Column,
-    low: Column,
-    high: Column,
-    rule: str = "nearest_free",
-    floor: float = 0.0,
-) -> DataFrame:
-    """Group items whose centres lie close together.
-
-    ``center2`` is twice the centre, ascending in reading direction; ``reach`` the distance
-    within which an item joins a group, in the same units; ``low``/``high`` its extent across.
-
-    Rules: ``nearest_free`` joins the nearest group mean within the smallest reach of item and
-    members, unless it overlaps a member; ``nearest`` the same without the overlap test;
-    ``first`` the first group within the item's reach; ``average`` the nearest group within
-    the mean reach of its members, ``floor`` at least, edge included.
-
-    Returns ``keys, ordinal, band, grp, mean2``: rows of one group share ``band`` and ``grp``.
-    """
-    g = items.select(
-        *keys, ordinal, center2.alias("c2"), reach.cast("double").alias("reach"),
-        low.alias("lo"), high.alias("hi"),
-    )
-    # One row per distinct centre, at most two per pixel, so this window is small.
-    w = Window.partitionBy(*keys).orderBy("c2")
-    gap = F.col("c2") - F.lag("c2").over(w)
-    widest = F.greatest(F.max("_r").over(Window.partitionBy(*keys)), F.lit(float(floor)))
-    apart = gap > widest if rule == "average" else gap >= widest
-    spots = (
-        g.groupBy(*keys, "c2")
-        .agg(F.max("reach").alias("_r"))
-        .withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
-        .select(*keys, "c2", F.sum("_new").over(w).cast("int").alias("band"))
-    )
-    banded = g.join(spots, [*keys, "c2"])
-    band = Window.partitionBy(*keys, "band")
-    before = F.max("hi").over(band.orderBy("lo", ordinal).rowsBetween(Window.unboundedPreceding, -1))
-    spread = F.max("c2").over(band) - F.min("c2").over(band)
-    reach_all = F.greatest(F.min("reach").over(band), F.lit(float(floor)))
-    tight = spread <= reach_all if rule == "average" else spread < reach_all
-    flagged = banded.withColumns(
-        {
-            "_hit": F.coalesce(F.col("lo") < before, F.lit(False)),
-            "_tight": (F.count(F.lit(1)).over(band) == 1) | tight,
-            "mean2": F.avg("c2").over(band),
-        }
-    )
-    plain = F.col("_tight")
-    if rule == "nearest_free":
-        plain = plain & ~F.max("_hit").over(band)
-    flagged = settle(flagged.withColumn("_plain", plain).drop("_hit", "_tight"))
-    simple = flagged.filter("_plain").select(*keys, ordinal, "band", F.lit(0).alias("grp"), "mean2")
-    tangled = flagged.filter("NOT _plain").select(*keys, "band", ordinal, "c2", "reach", "lo", "hi")
-    n = len(keys)
-
-    def walk(rows: list[tuple]) -> list[tuple]:
-        groups: list[list] = []  # [sum of c2, count, smallest reach, sum of reach, extents]
-        chosen = []
-        for row in rows:
-            c, r, lo, hi = row[n + 2 :]
-            best, best_distance = None, float("inf")
-            for i, (total, count, least, reach_sum, taken) in enumerate(groups):
-                distance = abs(c - total / count)
-                if rule == "first":
-                    if distance < r:
-                        best = i
-                        break
-                    continue
-                if rule == "average":
-                    near = distance <= max(floor, reach_sum / count)
-                else:
-                    near = distance < min(r, least)
-                if near and distance < best_distance:
-                    if rule == "nearest_free" and any(max(lo, a) < min(hi, b) for a, b in taken):
-                        continue
-                    best, best_distance = i, distance
-            if best is None:
-                groups.append([0, 0, r, 0.0, []])
-                best = len(groups) - 1
-            group = groups[best]
-            group[0] += c
-            group[1] += 1
-            group[2] = min(group[2], r)
-            group[3] += r
-            group[4].append((lo, hi))
-            chosen.append(best)
-        return [
-            (*row[: n], row[n + 1], row[n], i, groups[i][0] / groups[i][1]) for row, i in zip(rows, chosen)
-        ]
-
-    types = dict(items.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, ordinal])
-    walked = per_group(
-        tangled, [*keys, "band"], ["c2", ordinal], walk, f"{schema}, band int, grp int, mean2 double"
-    )
-    return simple.unionByName(walked)
+from quire.operators.staging import settle
 
 
 # --- tiers ---------------------------------------------------------------------------

@@ -5,7 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from quire import PAGE
+from quire.operators import bands as B
 from quire.operators import detections as N
+from quire.operators import grouping as G
 from quire.operators import reading as O
 from quire.operators import regions as R
 from quire.operators import tables as T
@@ -44,7 +46,7 @@ def loop_groups(items, ratio):
 
 def test_rows_match_loop(spark):
     df = crowded(spark)
-    got = O.group_along(
+    got = G.group_along(
         df, PAGE, "line_id", 2 * F.col("y") + F.col("height"), F.col("height") * 0.55 * 2, F.col("x"), F.col("x") + F.col("width")
     )
     sets = {}
@@ -133,3 +135,126 @@ def test_order_is_free_of_input_order_and_shift(spark):
     base = {tuple(r) for r in O.reading_order(df).collect()}
     moved = df.withColumns({"x": F.col("x") + 37, "y": F.col("y") + 11}).orderBy(F.rand(1))
     assert {tuple(r) for r in O.reading_order(moved).collect()} == base
+
+
+# --- crowded pages --------------------------------------------------------------------
+
+
+def loop_sweep(items, rule, floor):
+    """Every group is held against every item."""
+    groups, chosen = [], []
+    for c, r, lo, hi in items:
+        best, nearest = None, float("inf")
+        for i, (own, reaches, boxes) in enumerate(groups):
+            d = abs(c - sum(own) / len(own))
+            if rule == "first":
+                if best is None and d < r:
+                    best = i
+                continue
+            within = d <= max(floor, sum(reaches) / len(own)) if rule == "average" else d < min(r, *reaches)
+            if within and d < nearest and not (rule == "nearest_free" and any(max(lo, a) < min(hi, b) for a, b in boxes)):
+                best, nearest = i, d
+        if best is None:
+            best = len(groups)
+            groups.append(([], [], []))
+        for part, value in zip(groups[best], (c, r, (lo, hi))):
+            part.append(value)
+        chosen.append(best)
+    return chosen, [sum(own) / len(own) for own, _, _ in groups]
+
+
+def test_sweep_equals_loop():
+    rnd = random.Random(1)
+    for trial in range(600):
+        items = []
+        for _ in range(rnd.randrange(1, 60)):
+            lo = rnd.randrange(100)
+            items.append((rnd.randrange(rnd.choice([5, 60, 300])), float(rnd.choice([0, 2, 5, 16.5, 30])), lo, lo + rnd.choice([0, 1, 7, 40, 90])))
+        if trial % 2:
+            items += [rnd.choice(items) for _ in range(20)]
+        items.sort()
+        for rule in ("nearest_free", "nearest", "first", "average"):
+            floor = rnd.choice([0.0, 8.0])
+            assert G.sweep(items, rule, floor) == loop_sweep(items, rule, floor)
+
+
+def test_one_page_with_thousands_of_overlapping_lines(spark):
+    # 20,000 lines in 15 rows of two columns; every line overlaps all others of its column and row.
+    df = spark.range(20_000).selectExpr(
+        "1L AS doc_id", "1 AS page_no", "id AS line_id", "cast(60 + 420 * (id % 2) AS int) AS x", "cast(40 * (id % 15) + id % 3 AS int) AS y",
+        "cast(100 + id % 50 AS int) AS width", "20 AS height",
+    )
+    rows = G.group_along(
+        df, PAGE, "line_id", 2 * F.col("y") + F.col("height"), F.col("height") * 0.7, F.col("x"), F.col("x") + F.col("width")
+    ).join(df, [*PAGE, "line_id"])
+    sizes = rows.groupBy("band", "grp").agg(F.count("*").alias("n"), F.countDistinct("x").alias("columns")).toPandas()
+    assert sizes.n.sum() == 20_000 and (sizes.n == sizes["columns"]).all() and (sizes.n == 2).mean() > 0.9
+
+
+def test_merging_through_the_grid_equals_all_boxes(spark):
+    rnd = random.Random(7)
+    schema = "doc_id long, page_no int, det_id int, x1 int, y1 int, x2 int, y2 int, confidence double, class_index int"
+    data = []
+    for page in range(6):
+        for i in range(60):
+            x, y = rnd.randrange(-20, 500), rnd.randrange(-20, 200)
+            w, h = rnd.choice([(rnd.randrange(200), rnd.randrange(10, 30)), (rnd.randrange(10, 30), rnd.randrange(20, 200)), (rnd.randrange(1, 300),) * 2])
+            data.append((1, page, i, x, y, x + w, y + h, rnd.randrange(100) / 100, rnd.choice([0, 1, 1, 2, 13, 16])))
+    got = {tuple(r) for r in N.merge_detections(spark.createDataFrame(data, schema)).collect()}
+    columns = [part.split()[0] for part in schema.split(", ")]
+    want = set()
+    for page in range(6):
+        kept = []
+        for row in sorted((r for r in data if r[1] == page), key=lambda r: (-r[7], -(r[5] - r[3]) * (r[6] - r[4]), r[2])):
+            box = dict(zip(columns, row))
+            if N._taker(box, kept, 0.5, 0.8, 0.85, 80)[0] is None:
+                kept.append(box)
+        want |= {tuple(k[c] for c in columns) for k in kept}
+    assert got == want
+
+
+def test_many_copies_of_one_line(spark):
+    df = spark.range(3000).selectExpr(
+        "1L AS doc_id", "1 AS page_no", "cast(id AS int) AS line_id", "'same' AS text", "10 AS x", "10 AS y", "80 AS width", "20 AS height",
+        "id / 3000.0D AS confidence", "false AS is_vertical",
+    )
+    kept = N.resolve_duplicate_lines(df).collect()
+    assert [(r.line_id, r.confidence) for r in kept] == [(2999, 2999 / 3000)]
+
+
+def test_grid_join_counts_each_pair_once(spark):
+    rnd = random.Random(3)
+    boxes = [(1, 1, i, x := rnd.randrange(-300, 900), y := rnd.randrange(-300, 900), x + rnd.randrange(400), y + rnd.randrange(400)) for i in range(80)]
+    schema = "doc_id long, page_no int, {p}id int, {p}x1 int, {p}y1 int, {p}x2 int, {p}y2 int"
+    a, b = (spark.createDataFrame(boxes, schema.format(p=p)) for p in "ab")
+    corners = lambda p: tuple(F.col(p + e) for e in ("x1", "y1", "x2", "y2"))
+    meet = (F.least("ax2", "bx2") >= F.greatest("ax1", "bx1")) & (F.least("ay2", "by2") >= F.greatest("ay1", "by1"))
+    got = sorted((r.aid, r.bid) for r in B.grid_join(a, b, corners("a"), corners("b"), meet, cell=64).collect())
+    want = sorted(
+        (p[2], q[2]) for p in boxes for q in boxes
+        if min(p[5], q[5]) >= max(p[3], q[3]) and min(p[6], q[6]) >= max(p[4], q[4])
+    )
+    assert got == want
+
+
+def test_long_table_in_proportion(spark):
+    """A table of 3,000 ruled rows with a line in each cell, some cells with two lines one above the other."""
+    n = 3000
+    lines = spark.range(n).selectExpr(
+        "1L AS doc_id", "1 AS page_no", "explode(array(0, 1, 2)) AS c", "id AS r"
+    ).selectExpr(
+        "doc_id", "page_no", "cast(r * 3 + c AS int) AS line_id", "concat(r, ':', c) AS text", "cast(10 + 100 * (c % 2) AS int) AS x",
+        "cast(60 * r + 5 + 26 * cast(c = 2 AS int) AS int) AS y", "50 AS width", "20 AS height", "false AS is_vertical",
+    ).filter("c < 2 OR r % 2 = 0")
+    ruled = "array_union(array(named_struct('is_vertical', true, 'pos', 100, 'start', 0, 'end', 1)), transform(sequence(1, {0}), k -> named_struct('is_vertical', false, 'pos', 60 * k, 'start', 0, 'end', 200)))"
+    regions = spark.range(1).selectExpr(
+        "1L AS doc_id", "1 AS page_no", "1 AS region_seq", "'t' AS name", "'table' AS type", "0 AS x", "0 AS y", "200 AS width",
+        f"{60 * n} AS height", f"{ruled.format(n - 1)} AS rule_lines",
+    )
+    out = T.extract_tables(lines, regions).orderBy("row_index").collect()
+    want = []
+    for r in range(n):
+        want.append([f"{r}:0", f"{r}:1"])
+        if r % 2 == 0:
+            want.append([f"{r}:2", ""])
+    assert [list(r.cells) for r in out] == want

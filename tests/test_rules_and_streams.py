@@ -7,16 +7,14 @@ from quire.streaming import ingest as I
 SCHEMA = "original string, replacement string, is_regex boolean, enabled boolean, ord int, builtin boolean"
 
 
-def test_many_rules_equal_few(spark, monkeypatch):
+def test_rules_in_blocks_equal_one_block(spark):
     rows = [(f"k{i}", f"v{i % 7}", False, i % 5 != 0, i, i % 2 == 0) for i in range(40)]
     rows += [(r"v(\d)", r"<\1$>", True, True, 50, True), ("((", "x", True, True, 51, False), ("<", "k3", False, True, 60, False)]
     rules = spark.createDataFrame(rows, SCHEMA)
     df = spark.createDataFrame([(i, f"a k{i} k{i + 1}x <") for i in range(40)], "id int, text string")
     for order in ("engine", "insertion"):
         few = {tuple(r) for r in R.apply_rules(df, rules, "text", order).collect()}
-        monkeypatch.setattr(R, "INLINE_RULES", 3)
-        many = {tuple(r) for r in R.apply_rules(df, rules, "text", order).select("id", "text").collect()}
-        monkeypatch.undo()
+        many = {tuple(r) for r in R.apply_rules(df, rules, "text", order, block_chars=40).collect()}
         assert few == many
 
 
