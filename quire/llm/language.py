@@ -324,14 +324,16 @@ def with_language(docs: DataFrame, model: LanguageModel, vocabulary: str) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, whatever the input's size
 
     def make():
-        scorer = Scorer(Vocabulary(vocabulary), shared.value.pieces)
         languages, priors = shared.value.languages, shared.value.priors
+        if not languages:
+            return lambda texts: [["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)]
+        scorer = Scorer(Vocabulary(vocabulary), shared.value.pieces)
 
         def columns(texts: list[bytes | None]) -> list:
             logs, counts = scorer.texts(texts)
             rows = []
             for text, row, n in zip(texts, logs + priors, counts.tolist()):
-                if not languages or not text or not any(c.isalpha() for c in text.decode()):
+                if not text or not any(c.isalpha() for c in text.decode()):
                     rows.append(("und", 0.0, 0.0))
                 else:
                     best = int(np.argmax(row))
