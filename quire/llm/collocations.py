@@ -1,15 +1,14 @@
 """Phrase collocation mining with tries of safe candidates (operator 12).
 
-Texts become vectors of word numbers, and every position holds a state: the number of the frequent phrase that begins there.  Level by level, a phrase of one word
-more is a candidate only where the phrases without its last and without its first word are both
-frequent (Apriori), and where the parts of the texts that tell it leave room for the least count.
-The candidates' edges form a double array: a task moves all
-positions' states along it at once and adds up the accepting ones with bincount; Spark sums the
-tasks' counts.
+Texts become vectors of word numbers, and every position holds a state: the number of the frequent
+phrase that begins there.  Level by level, a phrase of one word more is a candidate only where the
+phrases without its last and without its first word are both frequent (Apriori), and where these two
+meet often enough.  The candidates' edges form a double array: a task moves all positions' states
+along it at once and adds up the accepting ones with bincount; Spark sums the tasks' counts.
 
 The double array of a level is broadcast: at most ``most`` edges over at most four times as many
-states and words.  A level with more is counted by grouping its pairs of states instead, with the same result.  Words are
-numbered by joins, never by a broadcast dictionary.
+states and words.  A level with more is counted by grouping its pairs of states instead, with the
+same result.  Words are numbered by joins, never by a broadcast dictionary.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ from quire.llm.tokens import text_slices
 from quire.operators.ordered import numbered
 from quire.operators.staging import settle
 
-SHARD_BYTES = 4 << 20
-PART = 8 << 20  # words whose candidates are told together
+SHARD_BYTES = 8 << 20
+PART = 4 << 20  # safe positions whose candidates are told together
 MOST_EDGES = 1 << 19
 LONGEST = 5
 ROW = 1024  # positions of a stored row
@@ -270,17 +269,12 @@ def _advance(trie: DoubleArray, words: np.ndarray, states: np.ndarray, width: in
     return out
 
 
-def _candidates(rows: DataFrame, width: int, minimum: int, n_words: int) -> DataFrame:
-    """``prefix, suffix, last``: pairs of frequent phrases that meet in a phrase of ``width`` words and may
-    occur ``minimum`` times.
+def _candidates(rows: DataFrame, before: DataFrame, minimum: int) -> DataFrame:
+    """``prefix, suffix, last``: frequent phrases of one word less that overlap in a text often enough.
 
-    A part (some million positions of a task) tells only the phrases that it holds ``least`` times or more; a
-    part that does not tell one holds it ``least - 1`` times at most.  What is told and what may be
-    untold bound a phrase's count from above, and no phrase that reaches ``minimum`` is missed.
+    Tasks tell each pair of neighbouring states (the safe phrases of their texts) once for some million words;
+    ``before`` gives a shorter phrase's last word.
     """
-    parts = n_words // PART + rows.rdd.getNumPartitions()
-    least = -(-minimum // max(parts, 1))
-    schema = "prefix long, suffix long, last long, count long"
 
     def each() -> Callable:
         held: list[np.ndarray] = []
@@ -291,32 +285,26 @@ def _candidates(rows: DataFrame, width: int, minimum: int, n_words: int) -> Data
             size = 0
             if not held:
                 return None
-            codes, last = np.concatenate(held, axis=1)
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            codes, first, counts = np.unique(codes, return_index=True, return_counts=True)
-            some = counts >= least
-            codes, last = codes[some], last[first[some]]
-            return pa.record_batch(
-                [codes >> 32, codes & 0xFFFFFFFF, last, counts[some]], names=["prefix", "suffix", "last", "count"]
-            )
+            return pa.record_batch([codes, counts.astype(np.int32)], names=["code", "count"])
 
         def act(words: np.ndarray | None, states: np.ndarray, borders: np.ndarray) -> pa.RecordBatch | None:
             nonlocal size
             if words is None:
                 return tell()
             at = np.flatnonzero((states[:-1] >= 0) & (states[1:] >= 0))
-            codes = (states[at].astype(np.int64) << 32) | states[at + 1]
-            held.append(np.stack([codes, words[at + width - 1].astype(np.int64)]))
-            size += int(np.count_nonzero(words >= 0))
+            held.append((states[at].astype(np.int64) << 32) | states[at + 1])
+            size += len(at)
             return tell() if size >= PART else None
 
         return act
 
-    told = _vectors(rows, schema, each).groupBy("prefix", "suffix", "last").agg(
-        F.sum("count").alias("told"), F.count(F.lit(1)).alias("parts")
+    told = _vectors(rows, "code long, count int", each).groupBy("code").agg(F.sum("count").alias("told"))
+    often = told.filter(F.col("told") >= minimum).select(
+        F.shiftright("code", 32).alias("prefix"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("suffix")
     )
-    most = F.col("told") + (parts - F.col("parts")) * (least - 1)
-    return told.filter(most >= minimum).select("prefix", "suffix", "last")
+    return often.join(before, "suffix").select("prefix", "suffix", "last")
 
 
 def _counts(rows: DataFrame, trie: DoubleArray, keys: np.ndarray, width: int) -> DataFrame:
@@ -388,15 +376,15 @@ def _pairs(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _level(
-    rows: DataFrame, width: int, minimum: int, n_words: int, n_before: int, n_symbols: int, most: int
+    rows: DataFrame, before: DataFrame, width: int, minimum: int, n_before: int, n_symbols: int, most: int
 ) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of ``width`` words (``number, prefix, suffix, last, f``) and the vectors with their states.
 
-    ``n_before`` phrases of one word less and ``n_symbols`` words are frequent.
+    ``before`` holds the ``n_before`` frequent phrases of one word less; ``n_symbols`` words are frequent.
     """
     order = [F.col("prefix"), F.col("suffix")]
     chunk = F.floor(F.col("prefix") / 4096)
-    found = settle(_candidates(rows, width, minimum, n_words))
+    found = settle(_candidates(rows, before, minimum))
     if found.count() <= most and max(n_before, n_symbols) <= 4 * most:
         keys = np.array([tuple(r) for r in found.orderBy("prefix", "suffix").toPandas().to_numpy()], np.int64).reshape(-1, 3)
         trie = DoubleArray(keys[:, 0], keys[:, 2], n_before)
@@ -435,13 +423,15 @@ def frequent_phrases(
         )
     ]
     rows = settle(states, "zstd")
-    n_words, n_symbols = counts.agg(F.sum("f")).first()[0] or 0, 0
+    n_symbols = 0
     for width in range(2, longest + 1):
         n_before = names.count()
         if not n_before:
             break
         n_symbols = n_before if width == 2 else n_symbols
-        names, rows = _level(rows, width, minimum, n_words, n_before, n_symbols, most)
+        last = F.col("number" if width == 2 else "last").alias("last")
+        before = names.select(F.col("number").alias("suffix"), last)
+        names, rows = _level(rows, before, width, minimum, n_before, n_symbols, most)
         shorter = levels[-1]
         head = shorter.select(
             F.col("number").alias("prefix"), "lang", F.col("words").alias("_head"), F.col("before").alias("_before")
