@@ -25,6 +25,7 @@ LEAST_VALUE = 8
 
 _LOW, _WIDTH = 32, 96  # printable ASCII; the last code stands for anything else
 ALPHABET = 68
+KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -109,23 +110,29 @@ def labelled_samples(docs: DataFrame, most_docs: int = 20_000) -> DataFrame:
     return found.select(F.inline(both)).distinct()
 
 
-def fit(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def fit(samples: DataFrame, smoothing: float = 0.5, backoff: float = 4.0, evenness: float = 200.0) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random against ordinary.
 
-    The result has a fixed number of entries, for all pairs of printable characters.
-    Without samples of a kind its model is uniform.
+    A pair backs off to its second character with the weight of ``backoff`` observations, so few
+    samples still tell key characters from those of words.  Single characters start from
+    ``smoothing`` observations each; random ones from ``evenness`` more, spread evenly over the key
+    characters, as random strings are even by nature.  The result has a fixed number of entries, for
+    all pairs of printable characters.
     """
     pairs = samples.where("value is not null and random is not null").select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
     counts = {(r["random"], r["pair"]): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}
+    codes = range(_WIDTH)
+    keys = {ord(c) - _LOW for c in KEY_CHARACTERS}
 
     def model(random: bool) -> list[float]:
-        logs = []
-        for a in range(_WIDTH):
-            row = [counts.get((random, a * _WIDTH + b), 0) + smoothing for b in range(_WIDTH)]
-            # Most printable characters never occur in a candidate: they share no mass.
-            total = sum(row) - smoothing * (_WIDTH - ALPHABET)
-            logs += [math.log(x / total) for x in row]
-        return logs
+        seen = [[counts.get((random, a * _WIDTH + b), 0) for b in codes] for a in codes]
+        even = [evenness / len(keys) if random and b in keys else 0.0 for b in codes]
+        single = [sum(row[b] for row in seen) + smoothing + even[b] for b in codes]
+        # Most printable characters never occur in a candidate: they share no mass.
+        total = sum(single) - smoothing * (_WIDTH - ALPHABET)
+        return [
+            math.log((row[b] + backoff * single[b] / total) / (sum(row) + backoff)) for row in seen for b in codes
+        ]
 
     return [r - o for r, o in zip(model(True), model(False))]
 
