@@ -25,8 +25,8 @@ from quire.llm.tokens import text_slices
 from quire.operators.ordered import numbered
 from quire.operators.staging import settle
 
-SHARD_BYTES = 8 << 20
-PART = 4 << 20  # safe positions whose candidates are told together
+SHARD_BYTES = 4 << 20
+PART = 2 << 20  # safe positions whose candidates are told together
 MOST_EDGES = 1 << 19
 LONGEST = 5
 ROW = 1024  # positions of a stored row
