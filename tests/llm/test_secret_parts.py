@@ -33,3 +33,20 @@ def test_parts_of_runs_are_judged(spark):
     gone = [sum(k not in left[at + i] for i, k in enumerate(ks)) for at, ks in ((0, keys), (100, alone), (200, keys))]
     assert min(gone) >= 45, gone
     assert all(left[200 + i].startswith(f"in {path}") for i in range(50))
+
+
+def test_few_samples_find_keys_and_spare_words(spark):
+    """Eleven labelled keys and some words: 90 % of planted keys found, no identifier of words reported."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda n: "".join(rng.choice(letters, n))
+    names = ["customer", "session", "handler", "index", "value", "request", "current", "table", "remote", "filter"]
+    samples = [(key(24), True) for _ in range(11)] + [(f"{a}_{b}", False) for a in names for b in names]
+    model = secrets.fit(spark.createDataFrame(samples, "value string, random boolean"))
+    for n in (16, 20, 32, 40):
+        docs = spark.createDataFrame([(i, f"see {key(n)} here") for i in range(100)], "doc_id long, text string")
+        assert secrets.find_secrets(docs, model).where("size(markov) > 0").count() >= 90
+    calm = spark.createDataFrame([(i, f"{a}_{b}_{c} and {c}{a}{b}") for i, (a, b, c) in enumerate(zip(names, names[3:] + names[:3], names[5:] + names[:5]))], "doc_id long, text string")
+    assert secrets.find_secrets(calm, model).where("size(markov) > 0").count() == 0
