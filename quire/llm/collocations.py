@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from quire.llm.tokens import text_slices
 from quire.operators.ordered import numbered
@@ -30,6 +31,7 @@ PART = 2 << 20  # safe positions whose candidates are told together
 MOST_EDGES = 1 << 19
 LONGEST = 5
 ROW = 1024  # positions of a stored row
+BLOCK = 4096  # candidates whose counts travel together
 
 COLLOCATIONS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -101,6 +103,18 @@ def _rows(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, sizes, data]).cast(pa.binary())
 
 
+def _packed(values: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """Rows as ``_rows`` has them, each compressed; the shuffle's own compression gains nothing on numbers."""
+    pack = ZstdCompressor(level=1).compress
+    return pa.array([pack(values[a:b].tobytes()) for a, b in zip(borders[:-1], borders[1:])], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    unpack = ZstdDecompressor().decompress
+    rows = [np.frombuffer(unpack(r), np.int32) for r in column.to_pylist()]
+    return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+
 def _cuts(values: np.ndarray) -> np.ndarray:
     """Borders of rows of about ``ROW`` positions; a row ends with the end of a piece, as the last value is one."""
     ends = np.flatnonzero(values < 0) + 1
@@ -136,7 +150,7 @@ def _shards(docs: DataFrame) -> DataFrame:
                 if names:
                     yield _entries(shard, key, [of, names], np.concatenate(counts))
                     values = np.concatenate(places)
-                    yield _places(shard, key, None, _rows(values, _cuts(values)))
+                    yield _places(shard, key, None, _packed(values, _cuts(values)))
                     shard += 1
 
     return docs.mapInArrow(run, _local_schema(key))
@@ -200,7 +214,7 @@ def _name(
                 if first == own.num_rows:
                     continue
                 own = own.slice(first)
-                places, borders = _flat(own.column(5))
+                places, borders = _unpacked(own.column(5))
                 # The last cell is never a place: -1 stays -1.
                 room = int(max([places.max(), *(at.max() for at, _ in held)])) + 2
                 if room > len(table):
@@ -308,26 +322,37 @@ def _candidates(rows: DataFrame, before: DataFrame, minimum: int) -> DataFrame:
 
 
 def _counts(rows: DataFrame, trie: DoubleArray, keys: np.ndarray, width: int) -> DataFrame:
-    """``prefix, suffix, last, f`` of every candidate: tasks bincount accepting states, Spark sums."""
+    """``prefix, suffix, last, f`` of every candidate: tasks bincount accepting states, and their sums are summed.
+
+    A task's counts travel in blocks of ``BLOCK`` candidates.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((trie, keys))
-    schema = "prefix long, suffix long, last long, count long"
 
     def each() -> Callable:
         trie, keys = shared.value
-        total = np.zeros(len(keys), np.int64)
+        total = np.zeros(-(-len(keys) // BLOCK) * BLOCK, np.int64)
 
         def act(words: np.ndarray | None, states: np.ndarray, borders: np.ndarray) -> pa.RecordBatch | None:
             if words is None:
-                some = np.flatnonzero(total)
-                return pa.record_batch([*keys[some].T, total[some]], names=["prefix", "suffix", "last", "count"])
+                own = [b.astype(np.int32).tobytes() for b in total.reshape(-1, BLOCK)]
+                return pa.record_batch([pa.array(range(len(own)), pa.int32()), pa.array(own, pa.binary())], names=["block", "counts"])
             found = _advance(trie, words, states, width)
             total[:] += np.bincount(found[found >= 0], minlength=len(total))
             return None
 
         return act
 
-    own = _vectors(rows, schema, each)
-    return own.groupBy("prefix", "suffix", "last").agg(F.sum("count").alias("f"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+        for block, found in sums.items():
+            own = shared.value[1][block * BLOCK : (block + 1) * BLOCK]
+            yield pa.record_batch([*own.T, found[: len(own)]], names=["prefix", "suffix", "last", "f"])
+
+    parts = _vectors(rows, "block int, counts binary", each).repartition("block")
+    return parts.mapInArrow(add_up, "prefix long, suffix long, last long, f long")
 
 
 def _moved(rows: DataFrame, trie: DoubleArray, width: int) -> DataFrame:
@@ -367,7 +392,7 @@ def _pairs(rows: DataFrame, width: int) -> DataFrame:
             shard += 1
             return [
                 _entries(shard, key, [distinct >> 32, distinct & 0xFFFFFFFF, last], counts),
-                _places(shard, key, _rows(words, borders), _rows(places, borders)),
+                _places(shard, key, _rows(words, borders), _packed(places, borders)),
             ]
 
         return act
