@@ -9,6 +9,7 @@ from quire.catalog.reading import WORD, d_cut, d_years
 from quire.catalog.text import UNWRAP
 from quire.operators.staging import fresh_path
 from quire.plans import fixtures as X
+from quire.sources import page_store
 from quire.sources import pages as P
 from quire.streaming import ingest as I
 
@@ -230,13 +231,18 @@ def scratch(spark, label):
 
 @query(
     "write_page_data",
-    f"""WITH {X.ITEMS_SQL} SELECT doc_id, page_no, kind, seq, CASE WHEN page_no % 2 = 0 THEN upper(kind) ELSE kind END AS text FROM page_items""",
+    f"""WITH {X.ITEMS_SQL} SELECT doc_id, page_no, kind, seq, CASE WHEN page_no % 2 = 0 THEN concat('new ', text) ELSE text END AS text
+    FROM page_items WHERE page_no % 2 = 1 OR seq % 3 <> 1""",
 )
 def _(spark, sf):
+    """Whole texts, every second page in a later version with fewer items."""
     path = scratch(spark, "pages")
-    items = X.page_items(spark, sf).withColumn("text", F.col("kind"))
+    items = X.page_items(spark, sf)
     P.write_page_data(items, path)
-    P.write_page_data(items.filter("page_no % 2 = 0").withColumn("text", F.upper("kind")), path)
+    P.write_page_data(
+        items.filter("page_no % 2 = 0 AND seq % 3 <> 1").withColumn("text", F.concat(F.lit("new "), "text")), path
+    )
+    page_store.compact(spark, path)
     return P.read_stored_pages(spark, path)
 
 
@@ -257,7 +263,28 @@ def _(spark, sf):
     path = scratch(spark, "arrivals")
     query_ = I.ingest_pages(arrival_stream(spark, sf), path, scratch(spark, "offsets"), ["arrived", "event_id"])
     query_.awaitTermination()
-    return P.read_stored_pages(spark, path)
+    return I.read_pages(spark, path, ["arrived", "event_id"])
+
+
+@query(
+    "ingest_with_new_rules",
+    f"""WITH {X.ARRIVALS_SQL} SELECT doc_id, page_no, replace(arg_max(status, (arrived, event_id)), 'i', '<i>') AS status
+    FROM page_arrivals GROUP BY ALL""",
+)
+def _(spark, sf):
+    """All arrivals come twice; the dictionary is edited between the two batches."""
+    path, offsets, rules = scratch(spark, "arrivals"), scratch(spark, "offsets"), scratch(spark, "rules")
+    inbox = scratch(spark, "inbox")
+    arrivals = X.page_arrivals(spark, sf)
+    schema, order = arrivals.withColumn("turn", F.lit(1)).schema, ["turn", "arrived", "event_id"]
+    for turn, new in enumerate(("[i]", "<i>")):
+        arrivals.withColumn("turn", F.lit(turn)).write.mode("append").parquet(inbox)
+        rule = "original string, replacement string, is_regex boolean, description string, enabled boolean, ord int"
+        edited = spark.createDataFrame([("i", new, False, "", True, 0)], rule)
+        P.write_rules(edited, f"{rules}/{turn}")
+        stream = spark.readStream.schema(schema).parquet(inbox)
+        I.ingest_pages(stream, path, offsets, order, rules_path=f"{rules}/{turn}", text_col="status").awaitTermination()
+    return I.read_pages(spark, path, order).select(*PAGE, "status")
 
 
 @query(
@@ -266,6 +293,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = scratch(spark, "progress")
-    frame = I.batch_progress(arrival_stream(spark, sf))
-    I.drain(frame, lambda df: df.write.mode("overwrite").parquet(path), scratch(spark, "offsets"))
-    return spark.read.parquet(path)
+    frame = I.batch_progress(arrival_stream(spark, sf), time_col="arrived")
+    I.drain(frame, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), scratch(spark, "offsets"))
+    # Counts only grow, so a batch's largest update is its last.
+    return spark.read.parquet(path).groupBy("doc_id", "batch_no").agg(F.max("completed").alias("completed"))

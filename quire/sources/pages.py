@@ -17,7 +17,8 @@ from quire.operators.headings import clean_headings, reclassify_headings
 from quire.operators.lines import drop_noise_lines
 from quire.operators.ordered import first_per
 from quire.operators.paragraphs import unwrap_paragraphs
-from quire.operators.staging import settle, stored_table
+from quire.operators.staging import settle
+from quire.sources import page_store
 
 PAGE_DIR = r"([^/]+)/page_(\d+)/([^/]+)$"
 
@@ -510,34 +511,14 @@ def read_page_data(spark: SparkSession, root: str) -> DataFrame:
     return load_pages(stored, legacy)
 
 
-BUCKETS = 64
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64(*PAGE), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-
 def write_page_data(items: DataFrame, path: str) -> None:
-    """Store page items by bucket of the page key; pages already stored are replaced, the
-    other pages of the touched buckets are carried over."""
-    spark = items.sparkSession
-    fresh = settle(items.withColumn("bucket", _bucket()))
-    stored = stored_table(spark, path)
-    out = fresh
-    if stored is not None and "bucket" in stored.columns:
-        touched = fresh.select("bucket").distinct()
-        kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(
-            fresh.select(*PAGE).distinct(), PAGE, "left_anti"
-        )
-        out = settle(fresh.unionByName(kept.select(*fresh.columns)))
-    (
-        out.repartition("bucket").write.partitionBy("bucket").mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
+    """Store page items as a new version of their pages; other pages are not touched."""
+    page_store.append(items, path)
 
 
 def read_stored_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    """The newest version of every stored page."""
+    return page_store.read_latest(spark, path)
 
 
 def write_reading_order(paragraphs: DataFrame, path: str) -> None:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire import PAGE
 from quire.operators.rules import apply_rules
-from quire.sources.pages import _bucket, read_rules
-from quire.operators.staging import settle, stored_table
+from quire.sources import page_store
+from quire.sources.pages import read_rules
 
 
 def latest_per_page(arrivals: DataFrame, order: list[str]) -> DataFrame:
@@ -21,25 +24,19 @@ def latest_per_page(arrivals: DataFrame, order: list[str]) -> DataFrame:
     return last.select(*PAGE, "_l.*").select(*arrivals.columns)
 
 
-def upsert_pages(arrivals: DataFrame, path: str, order: list[str]) -> None:
-    """Bring arrivals into the page table at ``path``; the latest arrival of a page stays.
+def upsert_pages(
+    arrivals: DataFrame, path: str, order: list[str], writer: str | None = None, batch: int | None = None
+) -> None:
+    """Bring arrivals into the page table at ``path``; see ``read_pages`` for the latest of each page.
 
-    Only the buckets the arrivals fall into are rewritten.  Doing the same batch twice gives
-    the same table.
+    Only the arriving pages are written.  Doing the same batch twice gives the same table.
     """
-    spark = arrivals.sparkSession
-    fresh = latest_per_page(arrivals, order).withColumn("bucket", _bucket())
-    stored = stored_table(spark, path)
-    if stored is not None:
-        # At most one row per bucket, and their number is fixed.
-        touched = fresh.select("bucket").distinct()
-        old = stored.join(F.broadcast(touched), "bucket", "left_semi").select(*fresh.columns)
-        both = latest_per_page(old.drop("bucket").unionByName(fresh.drop("bucket")), order)
-        fresh = settle(both.withColumn("bucket", _bucket()))
-    (
-        fresh.repartition("bucket").write.partitionBy("bucket").mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
+    page_store.append(latest_per_page(arrivals, order), path, writer, batch)
+
+
+def read_pages(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
+    """The latest arrival of every page by ``order``, whenever it came in."""
+    return page_store.read_last(spark, path, order)
 
 
 def ingest_pages(
@@ -56,10 +53,12 @@ def ingest_pages(
     dictionary counts from the next batch on.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         if rules_path is not None:
             df = apply_rules(df, read_rules(df.sparkSession, rules_path), text_col)
-        upsert_pages(df, path, order)
+        # The query's id lives in its checkpoint, so a batch done again replaces its first try.
+        query_id = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        upsert_pages(df, path, order, query_id, number if query_id else None)
 
     return (
         stream.writeStream.foreachBatch(batch)
@@ -69,19 +68,52 @@ def ingest_pages(
     )
 
 
-def batch_progress(stream: DataFrame, batch_size: int = 20) -> DataFrame:
-    """Streaming count of the distinct pages done in each batch of a document."""
-    size = max(5, batch_size)
-    pages = stream.select(*PAGE).dropDuplicates(PAGE)
-    bucket = F.floor((F.col("page_no") - 1) / size).cast("int") + 1
-    return pages.groupBy("doc_id", bucket.alias("batch_no")).agg(F.count(F.lit(1)).alias("completed"))
+def batch_progress(
+    stream: DataFrame, batch_size: int = 20, time_col: str | None = None, idle: timedelta = timedelta(days=7)
+) -> DataFrame:
+    """Streaming count of the distinct pages done in each batch of a document.
 
-
-def drain(frame: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> None:
-    """Run an aggregating stream to its end, handing each full result to ``sink``."""
+    A batch's state is one bit a page; a row is given only where a count has grown (``update`` mode).
+    With ``time_col`` a batch's state goes once no page of it came for ``idle`` of that time, and pages
+    that are later than that behind the stream are left out.
+    """
+    size = max(5, batch_size)
+    batch_no = (F.floor((F.col("page_no") - 1) / size).cast("int") + 1).alias("batch_no")
+    pages = stream.where("doc_id IS NOT NULL AND page_no IS NOT NULL")
+    span = int(idle.total_seconds() * 1000)
+    if time_col is None:
+        pages = pages.select("doc_id", batch_no, "page_no")
+    else:
+        pages = pages.select("doc_id", batch_no, "page_no", F.col(time_col).cast("timestamp").alias("at"))
+        pages = pages.withWatermark("at", f"{span} milliseconds")
+
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = int.from_bytes(state.get[0], "little") if state.exists else 0
+        seen, last = before, 0
+        for frame in frames:
+            for page in frame["page_no"].unique():
+                seen |= 1 << int((page - 1) % size)
+            if time_col is not None:
+                last = max(last, int(frame["at"].max().timestamp() * 1000))
+        state.update((seen.to_bytes(size // 8 + 1, "little"),))
+        if time_col is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + span)
+        if seen != before:
+            yield pd.DataFrame({"doc_id": [key[0]], "batch_no": [key[1]], "completed": [seen.bit_count()]})
+
+    schema = f"doc_id {dict(stream.dtypes)['doc_id']}, batch_no int, completed long"
+    timeout = GroupStateTimeout.NoTimeout if time_col is None else GroupStateTimeout.EventTimeTimeout
+    return pages.groupBy("doc_id", "batch_no").applyInPandasWithState(count, schema, "seen binary", "update", timeout)
+
+
+def drain(frame: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream of updates to its end, handing each batch's new rows and its number to ``sink``."""
     query = (
-        frame.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: sink(df))
+        frame.writeStream.outputMode("update")
+        .foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

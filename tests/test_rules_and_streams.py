@@ -37,10 +37,35 @@ def test_stream_takes_new_rules_and_repeats_safely(spark, tmp_path):
         json.dump({"exact_replacements": {"cat": "fox"}}, f)
     arrive([(1, 1, 3, "cat 3"), (1, 2, 0, "late cat")])
     run()
-    got = {(r.page_no, r.text) for r in spark.read.parquet(target).collect()}
+    got = {(r.page_no, r.text) for r in I.read_pages(spark, target, ["arrived"]).collect()}
     assert got == {(1, "fox 3"), (2, "dog")}
     I.upsert_pages(spark.createDataFrame([(1, 1, 3, "fox 3")], schema), target, ["arrived"])
-    assert {(r.page_no, r.text) for r in spark.read.parquet(target).collect()} == got
+    assert {(r.page_no, r.text) for r in I.read_pages(spark, target, ["arrived"]).collect()} == got
+
+
+def test_progress_counts_pages_once_and_tells_changes_only(spark, tmp_path):
+    inbox, out, offsets = (str(tmp_path / n) for n in ("inbox", "out", "offsets"))
+    schema = "doc_id long, page_no int"
+    told = []
+    for rows in ([(1, 1), (1, 1), (1, 2), (1, 21), (None, 1), (2, None)], [(1, 2), (1, 3), (2, 6)], [(1, 1), (2, 6)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(inbox)
+        frame = I.batch_progress(spark.readStream.schema(schema).json(inbox))
+        own = []
+        I.drain(frame, lambda df, _: own.extend(map(tuple, df.collect())), offsets)
+        told.append(sorted(own))
+    assert told == [[(1, 1, 2), (1, 2, 1)], [(1, 1, 3), (2, 1, 1)], []]
+
+
+def test_progress_forgets_idle_batches(spark, tmp_path):
+    inbox, offsets = str(tmp_path / "inbox"), str(tmp_path / "offsets")
+    schema = "doc_id long, page_no int, at timestamp"
+    told = []
+    # The state of document 1 goes while document 2 moves the time on; a late page is left out.
+    for row in ((1, 1, "2024-01-01"), (2, 1, "2024-02-01"), (2, 2, "2024-02-02"), (1, 2, "2024-01-02"), (1, 3, "2024-03-01")):
+        spark.createDataFrame([row], "doc_id long, page_no int, at string").coalesce(1).write.mode("append").json(inbox)
+        frame = I.batch_progress(spark.readStream.schema(schema).json(inbox), time_col="at")
+        I.drain(frame, lambda df, _: told.extend(map(tuple, df.collect())), offsets)
+    assert told == [(1, 1, 1), (2, 1, 1), (2, 1, 2), (1, 1, 1)]
 
 
 def test_line_xml(spark, tmp_path):
