@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire import PAGE
 from quire.catalog.base import SPACE, d_has, d_norm, d_prefix, d_strip, query
-from quire.catalog.text import _DRESS, d_key, d_major, d_noise, d_sub
+from quire.catalog.text import DRESSED, d_key, d_major, d_noise, d_sub, dressed
 from quire.functions import headings as H
 from quire.operators import headings as HD
 from quire.operators import notes as N
@@ -16,7 +16,7 @@ ITEMS = X.ITEMS_SQL
 # Footnote lines in all their spellings, one spelling per line number.
 _NOTE_DRESS = """CASE CAST(ord % 9 AS INT) WHEN 0 THEN concat(ord % 90 + 1, ') ', text) WHEN 1 THEN concat('【注釈文', ord % 50, '】 ', text)
   WHEN 2 THEN concat(text, '-') WHEN 3 THEN text WHEN 4 THEN concat('[P1-02] [', ord % 30, '] ', text)
-  WHEN 5 THEN concat('③', text) WHEN 6 THEN '【注7】' WHEN 7 THEN concat('本文の続き', substring(text, 1, 3)) ELSE concat('【注釈文__NEW__】', text) END"""
+  WHEN 5 THEN concat('③', text) WHEN 6 THEN concat('【注7】', text) WHEN 7 THEN concat('本文の続き', text) ELSE concat('【注釈文__NEW__】', text) END"""
 
 
 def note_lines(spark, sf):
@@ -268,18 +268,17 @@ def _(spark, sf):
 def heading_items(spark, sf):
     """Dressed lines as headings and subheadings; every eleventh a removed heading; repeats in
     other case."""
-    base = X.segments(spark, sf).selectExpr(
+    base = dressed(spark, sf).selectExpr(
         "doc_id", "CAST(ord DIV 30 + 1 AS INT) AS page_no", "CAST(ord AS INT) AS seq",
-        "CASE WHEN ord % 11 = 5 THEN 'removed' WHEN ord % 3 = 1 THEN 'subheading' ELSE 'heading' END AS kind",
-        f"{_DRESS} AS text",
+        "CASE WHEN ord % 11 = 5 THEN 'removed' WHEN ord % 3 = 1 THEN 'subheading' ELSE 'heading' END AS kind", "text",
     )
     again = base.filter("seq % 4 = 0").selectExpr("doc_id", "page_no", "seq + 1000000 AS seq", "kind", "upper(replace(text, 'ß', 'ss')) AS text")
     short = base.filter("seq % 5 = 0").selectExpr("doc_id", "page_no", "seq + 2000000 AS seq", "kind", "substring(text, 1, 6) AS text")
     return base.unionByName(again).unionByName(short)
 
 
-HITEMS = f"""{X.SEGMENTS_SQL}, hb AS (SELECT doc_id, CAST(ord // 30 + 1 AS INT) AS page_no, CAST(ord AS INT) AS seq,
-    CASE WHEN ord % 11 = 5 THEN 'removed' WHEN ord % 3 = 1 THEN 'subheading' ELSE 'heading' END AS kind, {_DRESS} AS text FROM segments),
+HITEMS = f"""{DRESSED}, hb AS (SELECT doc_id, CAST(ord // 30 + 1 AS INT) AS page_no, CAST(ord AS INT) AS seq,
+    CASE WHEN ord % 11 = 5 THEN 'removed' WHEN ord % 3 = 1 THEN 'subheading' ELSE 'heading' END AS kind, text FROM dressed),
   items AS (SELECT * FROM hb UNION ALL SELECT doc_id, page_no, seq + 1000000, kind, upper(replace(text, 'ß', 'ss')) FROM hb WHERE seq % 4 = 0
     UNION ALL SELECT doc_id, page_no, seq + 2000000, kind, substring(text, 1, 6) FROM hb WHERE seq % 5 = 0)"""
 
@@ -392,10 +391,10 @@ def _(spark, sf):
 def bodies(spark, sf):
     """Body lines: every heading line of an even number stands in the body as well."""
     items = X.page_items(spark, sf).filter("kind = 'body'").select(*PAGE, "seq", "text")
-    dressed = heading_items(spark, sf).filter("seq % 2 = 0").select(
+    titles = heading_items(spark, sf).filter("seq % 2 = 0").select(
         *PAGE, "seq", F.expr("concat(text, chr(10), ' second line ')").alias("text")
     )
-    return items.unionByName(dressed)
+    return items.unionByName(titles)
 
 
 BODIES = f"""{HITEMS}, pi AS (SELECT doc_id, CAST(ord // 30 + 1 AS INT) AS page_no, CAST(ord AS INT) AS seq, {X._ITEM_KIND} AS kind, {X._ITEM_TEXT['duck']} AS text

@@ -11,29 +11,36 @@ from quire.functions import text as T
 from quire.operators import paragraphs as P
 from quire.plans import fixtures as X
 
-# Lines dressed up as headings, notes and tagged items, one dress per line number; the text
-# is valid in both engines.
+# Lines dressed up as headings, notes and tagged items, one dress per line number, mostly in front of
+# the whole line; the text is valid in both engines.
 _DRESS = """CASE CAST(ord % 40 AS INT)
-  WHEN 0 THEN concat('第', ord % 12, '章 ', text) WHEN 1 THEN concat('第', ord % 9, '節 ', substring(text, 1, 20))
-  WHEN 2 THEN concat('（', ord % 9, '） ', substring(text, 1, 12)) WHEN 3 THEN '【小見出し】概要'
-  WHEN 4 THEN concat('Chapter ', ord % 20, ': ', substring(text, 1, 15)) WHEN 5 THEN concat(ord % 30, '. ', substring(text, 1, 10))
+  WHEN 0 THEN concat('第', ord % 12, '章 ', text) WHEN 1 THEN concat('第', ord % 9, '節 ', text)
+  WHEN 2 THEN concat('（', ord % 9, '） ', text) WHEN 3 THEN '【小見出し】概要'
+  WHEN 4 THEN concat('Chapter ', ord % 20, ': ', text) WHEN 5 THEN concat(ord % 30, '. ', text)
   WHEN 6 THEN '序章 民族自決' WHEN 7 THEN concat(ord % 30, ' はじめに') WHEN 8 THEN '一　研究背景'
   WHEN 9 THEN '1.2.3 実装' WHEN 10 THEN '■ 結論' WHEN 11 THEN 'まとめ' WHEN 12 THEN 'Second Stage – Gradual Loss'
   WHEN 13 THEN 'Political and Economic Landscape' WHEN 14 THEN 'Results: part 2' WHEN 15 THEN 'A. Overview'
   WHEN 16 THEN '[P12-03] [P3] 十' WHEN 17 THEN concat('[P', ord % 50, '] ', text) WHEN 18 THEN '第十一章　終わり'
   WHEN 19 THEN '研究における方法' WHEN 20 THEN 'it was according to plan' WHEN 21 THEN '・・・・' WHEN 22 THEN 'aaaa bbbb'
   WHEN 23 THEN 'したがって次' WHEN 24 THEN concat('【注', ord, '】 ', text) WHEN 25 THEN '(Medvedev 2020, 218)'
-  WHEN 26 THEN '『作品について』' WHEN 27 THEN '　字下げ本文' WHEN 28 THEN concat('結論。', substring(text, 1, 5))
+  WHEN 26 THEN '『作品について』' WHEN 27 THEN '　字下げ本文' WHEN 28 THEN concat('結論。', text)
   WHEN 29 THEN '彼は言った。」' WHEN 30 THEN '終わり。［1］' WHEN 31 THEN 'He left.[12](a)' WHEN 32 THEN '---  ページ 3 ---'
   WHEN 33 THEN 'Introduction' WHEN 34 THEN '② 結果' WHEN 35 THEN '一の二' WHEN 36 THEN 'Section 3.'
-  WHEN 37 THEN '２０２３年の記録' WHEN 38 THEN concat(substring(text, 1, 18), '?') ELSE text END"""
+  WHEN 37 THEN '２０２３年の記録' WHEN 38 THEN concat(text, '?') ELSE text END"""
+
+
+PLAIN = 4_000_000  # plain lines follow the dressed ones of a document
 
 
 def dressed(spark, sf):
-    return X.segments(spark, sf).selectExpr("doc_id", "ord", f"{_DRESS} AS text")
+    """Every line in its dress, and every line as it is."""
+    lines = X.segments(spark, sf)
+    plain = lines.select("doc_id", (F.col("ord") + PLAIN).alias("ord"), "text")
+    return lines.selectExpr("doc_id", "ord", f"{_DRESS} AS text").unionByName(plain)
 
 
-DRESSED = f"{X.SEGMENTS_SQL}, dressed AS (SELECT doc_id, ord, {_DRESS} AS text FROM segments)"
+DRESSED = f"""{X.SEGMENTS_SQL}, dressed AS (SELECT doc_id, ord, {_DRESS} AS text FROM segments
+  UNION ALL SELECT doc_id, ord + {PLAIN}, text FROM segments)"""
 
 
 def _run_of(e: str, n: int) -> str:
