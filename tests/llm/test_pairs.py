@@ -179,3 +179,14 @@ def test_pipeline(spark, sf, hard):
 
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_stages_take_clashing_columns(spark, sf, hard):
+    """Columns with the names that operators use themselves come through as they are."""
+    names = ["hex", "assign", "access", "markov", "secret_spans", "_node", "_no", "_rest", "_runs"]
+    docs = hard.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(n).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() > 5
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(names)}
+        assert stage(spark, docs.limit(0), sf).count() == 0
