@@ -10,6 +10,7 @@ from quire.catalog.reading import d_ends
 from quire.catalog.tables import BOOK, book_rows, ruled_tables
 from quire.catalog.text import d_sub, d_western
 from quire.operators import documents as D
+from quire.operators import page_breaks as B
 from quire.operators import rules as R
 from quire.operators import search as S
 from quire.plans import document as P
@@ -187,37 +188,62 @@ def _(spark, sf):
     return out.select(*PAGE, F.array_join("body", "|").alias("body"), F.array_join("headings", "|").alias("headings"))
 
 
-def _d_runs_on(a: str, b: str, first: str) -> str:
-    """``a`` and ``b`` are trimmed one-line paragraphs."""
+def _d_runs_on(a: str, b: str, raw: str, first: str) -> str:
+    """``b`` is a trimmed one-line paragraph, ``a`` a trimmed text and ``{a}_l`` its last line."""
     barred = " OR ".join(
         [
-            f"{a} = ''", f"{b} = ''", d_sub(b, b, f"{b}_p"), d_sub(a, a, f"{a}_p"),
+            f"{a} = ''", f"{b} = ''", d_sub(b, b, f"{b}_p"), f"CASE WHEN length({a}) > 120 THEN false ELSE {d_sub(a, a, f'{a}_p')} END", d_sub(f"{a}_l", f"{a}_l", f"{a}_lp"),
             rf"regexp_matches({b}, '^(?:[-*・■◆▲●○▶※][{SPACE}]+|\p{{Nd}}+[.)]|\(\p{{Nd}}+\)|[①-⑳])')",
             rf"""(regexp_matches({b}, '^[「『“"（【［\[]') AND NOT regexp_matches({a}, '[“"「『]$'))""",
             f"regexp_matches({a}, '[:：]$')",
         ]
     )
     latin = rf"""(ends_with({a}, '-') OR regexp_matches({b}, '^\p{{Ll}}') OR regexp_matches({b}, '^[,;)\]]') OR NOT regexp_matches({a}, '[.!?]["'')]*$'))"""
-    japanese = f"(regexp_matches({b}, '{D.JAPANESE_RUN_ON}') OR regexp_matches({a}, '[、,・―—…]$') OR (NOT regexp_matches({first}, '^　') AND NOT {d_ends(a)}))"
-    return f"(NOT ({barred}) AND CASE WHEN {d_western(a)} OR {d_western(b)} THEN {latin} ELSE {japanese} END)"
+    japanese = f"(regexp_matches({b}, '{B.JAPANESE_RUN_ON}') OR regexp_matches({a}, '[、,・―—…]$') OR (NOT regexp_matches({first}, '^　') AND NOT {d_ends(a)}))"
+    return f"(NOT ({barred}) AND CASE WHEN {d_western(raw)} OR {d_western(first)} THEN {latin} ELSE {japanese} END)"
 
 
-@query(
-    "merge_cross_page",
-    f"""WITH {ITEMS}, b AS (SELECT doc_id, page_no, seq, text, {d_strip('text')} AS t, {d_prefix('text')} AS t_p FROM page_items WHERE kind = 'body'),
-    l AS (SELECT *, lag(page_no) OVER w AS pp, lag(t) OVER w AS a, lag(t_p) OVER w AS a_p FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, seq)),
+def _merge_sql(body: str) -> str:
+    """Page by page, as it is read: each text is held against the paragraph as merged so far."""
+    return f"""WITH RECURSIVE {ITEMS}, {body},
+    b AS (SELECT *, {d_strip('text')} AS t, {d_prefix('text')} AS t_p, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, seq) AS n FROM body),
     h AS (SELECT doc_id, page_no, {d_strip('text')} AS h, {d_prefix('text')} AS hp, {d_norm(d_prefix('text'))} AS hn FROM page_items WHERE kind = 'heading'),
-    j AS (SELECT *, coalesce(pp <> page_no AND {_d_runs_on('a', 't', 'text')} AND NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.page_no = l.page_no
-        AND (starts_with(lower(l.t), lower(h.h)) OR starts_with(lower(l.t), lower(h.hp)) OR ({d_norm('l.t')} <> '' AND {d_norm('l.t')} = h.hn))), false) AS jn FROM l),
-    g AS (SELECT *, sum(CASE WHEN jn THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_no, seq) AS para FROM j)
-    SELECT doc_id, arg_min(page_no, page_no * 1000000 + seq) AS page_no, arg_min(seq, page_no * 1000000 + seq) AS seq,
-      CASE WHEN count(*) = 1 THEN any_value(text) ELSE string_agg(CASE WHEN rl = 1 THEN regexp_replace(text, '^[{SPACE}]+', '') WHEN jn THEN t ELSE regexp_replace(text, '[{SPACE}]+$', '') END,
-          chr(10) ORDER BY page_no, seq) END AS text
-    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, para ORDER BY page_no DESC, seq DESC) AS rl FROM g) GROUP BY doc_id, para""",
+    tl AS (SELECT DISTINCT b.doc_id, b.n FROM b JOIN h USING (doc_id, page_no) WHERE starts_with(lower(b.t), lower(h.h)) OR starts_with(lower(b.t), lower(h.hp))
+      OR ({d_norm('b.t')} <> '' AND {d_norm('b.t')} = h.hn)),
+    bt AS (SELECT b.*, tl.n IS NOT NULL AS titled, lag(b.page_no) OVER (PARTITION BY b.doc_id ORDER BY b.n) AS pp FROM b LEFT JOIN tl ON b.doc_id = tl.doc_id AND b.n = tl.n),
+    w AS (SELECT doc_id, n, text AS p, CAST(1 AS BIGINT) AS para FROM bt WHERE n = 1
+      UNION ALL
+      SELECT doc_id, n, CASE WHEN jn THEN concat(regexp_replace(p, '[{SPACE}]+$', ''), chr(10), regexp_replace(text, '^[{SPACE}]+', '')) ELSE text END,
+        para + CASE WHEN jn THEN 0 ELSE 1 END
+      FROM (SELECT *, pp <> page_no AND NOT titled AND {_d_runs_on('a', 't', 'p', 'text')} AS jn
+        FROM (SELECT *, {d_prefix('a')} AS a_p, {d_prefix('a_l')} AS a_lp FROM (SELECT *, {d_strip("split_part(a, chr(10), -1)")} AS a_l
+        FROM (SELECT bt.*, w.p, w.para, {d_strip('w.p')} AS a FROM w JOIN bt ON bt.doc_id = w.doc_id AND bt.n = w.n + 1)))))
+    SELECT w.doc_id, arg_min(bt.page_no, w.n) AS page_no, arg_min(bt.seq, w.n) AS seq, arg_max(w.p, w.n) AS text
+    FROM w JOIN bt ON bt.doc_id = w.doc_id AND bt.n = w.n GROUP BY w.doc_id, w.para"""
+
+
+@query("merge_cross_page", _merge_sql("body AS (SELECT doc_id, page_no, seq, text FROM page_items WHERE kind = 'body')"))
+def _(spark, sf):
+    items = X.page_items(spark, sf)
+    return B.merge_cross_page(items.filter("kind = 'body'"), items.filter("kind = 'heading'"))
+
+
+# Runs of pages with one paragraph each between fuller pages; paragraphs as they are, indented or with Japanese words put in front of the whole text.
+_SINGLE_PAGE = "CAST(seq - CASE WHEN seq % 12 < 3 THEN seq % 12 ELSE 0 END AS INT)"
+_SINGLE = f"""CASE (seq + doc_id) % 7 WHEN 1 THEN concat('　{"漢字" * 30}', text) WHEN 2 THEN concat(text, '。') WHEN 3 THEN concat('{"日本語" * 40} ', text)
+      WHEN 4 THEN concat('また', text, ' of') ELSE text END"""
+
+
+@query(
+    "merge_cross_page_single",
+    _merge_sql(f"body AS (SELECT doc_id, {_SINGLE_PAGE} AS page_no, seq, {_SINGLE} AS text FROM page_items WHERE kind = 'body')"),
 )
 def _(spark, sf):
     items = X.page_items(spark, sf)
-    return D.merge_cross_page(items.filter("kind = 'body'"), items.filter("kind = 'heading'"))
+    body = items.filter("kind = 'body'").selectExpr(
+        "doc_id", f"{_SINGLE_PAGE} AS page_no", "seq", f"{_SINGLE} AS text"
+    )
+    return B.merge_cross_page(body, items.filter("kind = 'heading'"))
 
 
 @query(
