@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import PAGE
 from quire.functions.geometry import int_center, normalize_region_type, region_display_name
 from quire.functions.text import is_blank
-from quire.operators.bands import BAND, band_anti, band_join, prefixed
+from quire.operators.bands import BAND, band_anti, band_join, grid_join, prefixed
 from quire.operators.ordered import first_per, numbered, span
 from quire.operators.staging import per_group, settle
 
@@ -218,67 +218,71 @@ def bordered_regions(
     """Rectangles between two horizontal rules: closed by connecting verticals, or open with
     rules on top and bottom and some inner rule.
 
-    Every pair of rules is an answer of its own, so pairs are formed; equal rules are folded
-    first, which bounds them by the pixel rows of a page.
+    Closed ones are found through the verticals: each meets the rules it crosses, and two rules
+    that share two verticals are an answer.  Open ones are pairs of rules that overlap over a
+    fifth of the page's width, so only rules of that length are paired; whether a pair has an
+    inner rule is asked without making a row for each.  Equal rules are folded first.  Segments
+    with a null in any place are no rules; a page without a known width has no open rectangles.
     """
+    segments = segments.dropna(subset=["pos", "start", "end"])
     rules = segments.filter("orient = 'h'").groupBy(*PAGE, "pos", "start", "end").agg(
         F.min("ord").alias("ord")
     )
     uprights = segments.filter("orient = 'v'").select(
         *PAGE, F.col("pos").alias("v_x"), F.col("start").alias("v_y1"), F.col("end").alias("v_y2")
     ).distinct()
-    top, bottom = prefixed(rules, "t_"), prefixed(rules, "b_")
-    left, right = F.greatest("t_start", "b_start"), F.least("t_end", "b_end")
-    pairs = (
-        top.join(bottom, PAGE)
-        .filter(
-            (F.col("b_pos") - F.col("t_pos") >= min_size) & (F.col("t_ord") < F.col("b_ord")) & (right > left)
+    side = ["ord", "pos", "start", "end"]
+    upright = [*PAGE, "v_x", "v_y1", "v_y2"]
+    met = settle(
+        grid_join(
+            uprights, prefixed(rules, "r_"),
+            (F.col("v_x"), F.col("v_y1") - touch, F.col("v_x"), F.col("v_y2") + touch),
+            (F.col("r_start"), F.col("r_pos"), F.col("r_end"), F.col("r_pos")),
+            F.col("v_x").between(F.col("r_start"), F.col("r_end"))
+            & F.col("r_pos").between(F.col("v_y1") - touch, F.col("v_y2") + touch),
         )
-        .select(*PAGE, "t_ord", "b_ord", F.col("t_pos").alias("y1"), F.col("b_pos").alias("y2"),
-                left.alias("cx1"), right.alias("cx2"))
     )
-    pairs = settle(pairs)
+    top = met.select(*upright, *[F.col(f"r_{c}").alias(f"t_{c}") for c in side])
+    bottom = met.select(*upright, *[F.col(f"r_{c}").alias(f"b_{c}") for c in side])
+    below = (F.col("b_pos") - F.col("t_pos") >= min_size) & (F.col("t_ord") < F.col("b_ord"))
+    cx1, cx2 = F.greatest("t_start", "b_start"), F.least("t_end", "b_end")
+    spans = [F.col("t_pos").alias("y1"), F.col("b_pos").alias("y2"), cx1.alias("cx1"), cx2.alias("cx2")]
     key = [*PAGE, "t_ord", "b_ord"]
-    connects = (
-        F.col("v_x").between(F.col("cx1"), F.col("cx2"))
-        & (F.col("v_y1") <= F.col("y1") + touch) & (F.col("v_y2") >= F.col("y2") - touch)
-    )
-    closed = pairs.join(uprights, PAGE).filter(connects).groupBy(*pairs.columns).agg(
-        F.min("v_x").alias("vl"), F.max("v_x").alias("vr")
-    ).filter("vl < vr")
-    boxed = closed.select(
+    closed = (
+        top.join(bottom, upright).filter(below).select(*key, *spans, "v_x")
+        .groupBy(*key, "y1", "y2", "cx1", "cx2").agg(F.min("v_x").alias("vl"), F.max("v_x").alias("vr"))
+        .filter("vl < vr")
+    )
+    closed = settle(closed) if open_tables else closed
+    out = closed.select(
         *key, "y1", "y2",
         F.when(F.col("vl") - F.col("cx1") > overhang, F.col("cx1")).otherwise(F.col("vl")).alias("x1"),
         F.when(F.col("cx2") - F.col("vr") > overhang, F.col("cx2")).otherwise(F.col("vr")).alias("x2"),
     )
-    out = boxed
     if open_tables:
+        widths = pages.select(*PAGE, F.greatest(F.lit(float(min_size)), F.col("width") * 0.2).alias("_least"))
+        long = settle(rules.join(widths, PAGE).filter(F.col("end") - F.col("start") >= F.col("_least")))
         wide = (
-            pairs.join(closed.select(*key), key, "left_anti")
-            .join(pages.select(*PAGE, F.col("width").alias("_pw")), PAGE)
-            .filter(F.col("cx2") - F.col("cx1") >= F.greatest(F.lit(float(min_size)), F.col("_pw") * 0.2))
+            prefixed(long, "t_").join(prefixed(long.drop("_least"), "b_"), PAGE)
+            .filter(below & (cx2 - cx1 >= F.col("t__least"))).select(*key, *spans)
+            .join(closed.select(*key), key, "left_anti")
         )
-        inner_v = (
-            wide.join(uprights, PAGE)
-            .filter(
-                F.col("v_x").between(F.col("cx1") - 10, F.col("cx2") + 10)
-                & (F.col("v_y1") <= F.col("y2") + 15) & (F.col("v_y2") >= F.col("y1") - 15)
-            )
-            .select(*key)
+        same_page = lambda p: (F.col("doc_id") == F.col(f"{p}doc_id")) & (F.col("page_no") == F.col(f"{p}page_no"))
+        inner = rules.toDF(*[f"m_{c}" for c in rules.columns])
+        has_rule = (
+            same_page("m_") & (F.col("m_pos") > F.col("y1") + 5) & (F.col("m_pos") < F.col("y2") - 5)
+            & (F.greatest("m_start", "cx1") < F.least("m_end", "cx2"))
         )
-        inner = prefixed(rules, "m_")
-        inner_h = (
-            wide.join(inner, PAGE)
-            .filter(
-                (F.col("m_pos") > F.col("y1") + 5) & (F.col("m_pos") < F.col("y2") - 5)
-                & (F.greatest("m_start", "cx1") < F.least("m_end", "cx2"))
-            )
-            .select(*key)
+        posts = uprights.toDF("p_doc_id", "p_page_no", "v_x", "v_y1", "v_y2")
+        has_upright = (
+            same_page("p_") & F.col("v_x").between(F.col("cx1") - 10, F.col("cx2") + 10)
+            & (F.col("v_y1") <= F.col("y2") + 15) & (F.col("v_y2") >= F.col("y1") - 15)
         )
-        opened = wide.join(inner_v.union(inner_h).distinct(), key, "left_semi").select(
-            *key, "y1", "y2", F.col("cx1").alias("x1"), F.col("cx2").alias("x2")
+        wide = settle(wide)
+        opened = wide.join(inner, has_rule, "left_semi").unionByName(
+            wide.join(inner, has_rule, "left_anti").join(posts, has_upright, "left_semi")
         )
-        out = boxed.unionByName(opened)
+        out = out.unionByName(opened.select(*key, "y1", "y2", F.col("cx1").alias("x1"), F.col("cx2").alias("x2")))
     sized = out.select(
         *key, F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("width"),
         (F.col("y2") - F.col("y1")).alias("height"),
