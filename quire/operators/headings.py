@@ -44,14 +44,22 @@ def drop_prefix_fragments(items: DataFrame, keys: list[str] | None = None) -> Da
     """Drop items that are a strict prefix, case aside, of another item of the page.
 
     In sorted order the texts that start with an item follow it directly, so one look at the
-    next text is enough.  A prefix shares the first letter, so letters are worked apart.
+    next text is enough.  Texts are cut into ranges of that order; the last one of a range looks
+    at the first one of the next.  Null texts stay.
     """
     keys = keys or [k for k in [*PAGE, "kind"] if k in items.columns]
     u = F.lower("text")
-    texts = items.select(*keys, u.alias("_u"), F.left(u, F.lit(1)).alias("_a")).distinct()
-    w = Window.partitionBy(*keys, "_a").orderBy("_u")
-    nxt = F.lead("_u").over(w)
-    fragments = texts.withColumn("_next", nxt).filter(F.col("_next").startswith(F.col("_u"))).select(*keys, "_u")
+    texts = settle(items.filter("text IS NOT NULL").select(*keys, u.alias("_u")).distinct())
+    ranged = settle(texts.repartitionByRange(*keys, "_u").withColumn("_range", F.spark_partition_id()))
+    firsts = ranged.groupBy(*keys, "_range").agg(F.min("_u").alias("_first"))
+    later = firsts.select(
+        *keys, "_range", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_later")
+    )
+    nxt = F.coalesce(F.lead("_u").over(Window.partitionBy(*keys, "_range").orderBy("_u")), F.col("_later"))
+    fragments = (
+        ranged.join(later, [*keys, "_range"]).withColumn("_next", nxt)
+        .filter(F.col("_next").startswith(F.col("_u"))).select(*keys, "_u")
+    )
     return items.withColumn("_u", u).join(fragments, [*keys, "_u"], "left_anti").select(*items.columns)
 
 
