@@ -168,6 +168,49 @@ def _(spark, sf):
     return G.split_cells(grid, grid.filter("col_no = 2 AND row_no % 2 = 1"))
 
 
+def paired_spans(grid):
+    """Columns 1-2 and 3-4 merged in two rows of three, from odd rows on over two rows."""
+    return grid.filter("col_no IN (1, 3) AND row_no % 3 <> 0").selectExpr(
+        "doc_id", "page_no", "table_seq", "row_no AS start_row", "col_no AS start_col", "CAST(1 + row_no % 2 AS INT) AS row_span",
+        "2 AS col_span", "text AS merged_text", "map(concat(col_no, ',', row_no), text) AS originals",
+    )
+
+
+_SPANS = """sp AS (SELECT doc_id, page_no, row_no AS start_row, col_no AS start_col, CAST(1 + row_no % 2 AS INT) AS row_span, text AS merged_text
+      FROM cells WHERE col_no IN (1, 3) AND row_no % 3 <> 0)"""
+
+
+def _untouched(direction: str, edited: str, start_col: int) -> str:
+    return f"""SELECT '{direction}' AS dir, * FROM sp WHERE start_col <> {start_col} OR NOT EXISTS (SELECT 1 FROM cells c
+      WHERE c.doc_id = sp.doc_id AND c.row_no >= sp.start_row AND c.row_no < sp.start_row + sp.row_span AND {edited} AND trim(c.text) <> '')"""
+
+
+@query(
+    "shift_cells_spans",
+    f"""WITH {CELLS}, {_SPANS} {_untouched('right', 'c.col_no = 4 AND c.row_no % 2 = 1', 3)}
+    UNION ALL {_untouched('left', 'c.col_no = 2 AND c.row_no % 2 = 0', 1)}""",
+)
+def _(spark, sf):
+    grid = cells(spark, sf)
+    spans = paired_spans(grid)
+    right = G.shift_cells(grid, grid.filter("col_no = 4 AND row_no % 2 = 1"), "right", spans)[1]
+    left = G.shift_cells(grid, grid.filter("col_no = 2 AND row_no % 2 = 0"), "left", spans)[1]
+    both = right.select(F.lit("right").alias("dir"), "*").unionByName(left.select(F.lit("left").alias("dir"), "*"))
+    return both.select("dir", *PAGE, "start_row", "start_col", "row_span", "merged_text")
+
+
+@query(
+    "split_cells_spans",
+    # Splits write to columns 2 and 3 of every odd row, so both spans of such rows go.
+    f"WITH {CELLS}, {_SPANS} SELECT * FROM sp WHERE start_row % 2 = 0",
+)
+def _(spark, sf):
+    grid = cells(spark, sf)
+    dressed = grid.withColumn("text", F.expr("CASE WHEN col_no = 2 THEN '12a b cccccccccccc' ELSE text END"))
+    out = G.split_cells(dressed, dressed.filter("col_no = 2 AND row_no % 2 = 1"), paired_spans(grid))[1]
+    return out.select(*PAGE, "start_row", "start_col", "row_span", "merged_text")
+
+
 # --- whole tables ----------------------------------------------------------------------
 
 def book_rows(spark, sf):

@@ -157,13 +157,27 @@ def _pad(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " ")
 
 
-def shift_cells(grid_cells: DataFrame, edits: DataFrame, direction: str = "right") -> DataFrame:
+def _edited(
+    grid_cells: DataFrame, writes: DataFrame, spans: DataFrame | None
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Written cells; with ``spans``, also those of them that hold no written cell."""
+    cells = _upsert(grid_cells, writes)
+    if spans is None:
+        return cells
+    ids = [*GRID, "start_row", "start_col", "row_span", "col_span"]
+    return cells, spans.join(_spans_touching(spans, writes.select(*GRID, "row_no", "col_no")), ids, "left_anti")
+
+
+def shift_cells(
+    grid_cells: DataFrame, edits: DataFrame, direction: str = "right", spans: DataFrame | None = None
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Move the text of edited cells into the next cell, before or behind what stands there.
-    Edits of one call are taken on their own: give no two that share a cell."""
+    Edits of one call are taken on their own: give no two that share a cell.  With merged
+    ``spans`` the result is cells and spans: those that hold a cell written to are gone."""
     step = 1 if direction == "right" else -1
     moved = _beside(grid_cells, edits, step).withColumn("_t", strip("text")).filter("_t <> '' AND _to >= 1")
     there = _pad(F.col("_t"), F.col("_there")) if step == 1 else _pad(F.col("_there"), F.col("_t"))
-    return _upsert(grid_cells, _writes(moved, F.lit(""), there))
+    return _edited(grid_cells, _writes(moved, F.lit(""), there), spans)
 
 
 def cell_split_index(text: Column) -> Column:
@@ -202,14 +216,16 @@ def cell_split_index(text: Column) -> Column:
     )
 
 
-def split_cells(grid_cells: DataFrame, edits: DataFrame) -> DataFrame:
+def split_cells(
+    grid_cells: DataFrame, edits: DataFrame, spans: DataFrame | None = None
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Split edited cells at their best space; the right part goes before the text of the next
-    cell.  Give no two edits that share a cell."""
+    cell.  Give no two edits that share a cell.  ``spans`` as in ``shift_cells``."""
     at = _beside(grid_cells, edits, 1).withColumn("_at", cell_split_index(F.coalesce("text", F.lit(""))))
     left = strip(F.left("text", F.col("_at")))
     right = strip(F.substring("text", F.col("_at") + 1, F.length("text")))
     moved = at.filter("_at > 0").withColumns({"_l": left, "_r": right}).filter("_r <> ''")
-    return _upsert(grid_cells, _writes(moved, F.col("_l"), _pad(F.col("_r"), F.col("_there"))))
+    return _edited(grid_cells, _writes(moved, F.col("_l"), _pad(F.col("_r"), F.col("_there"))), spans)
 
 
 # --- whole rows ------------------------------------------------------------------------
