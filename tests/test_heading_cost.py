@@ -43,3 +43,27 @@ def test_title_case_gate_keeps_the_verdict(spark):
     df = spark.createDataFrame(list(rows), "string").select("value", H._title_case(F.col("value")).alias("out"))
     got = dict(df.collect())
     assert {k: v for k, v in got.items() if v != rows[k]} == {}
+
+
+def test_cleaning_writes_each_heading_once(spark, sf, monkeypatch):
+    from quire.operators import headings as HD
+
+    written = []
+    settle = HD.settle
+    monkeypatch.setattr(HD, "settle", lambda df: written.append(df.columns) or settle(df))
+    HD.clean_headings(heading_items(spark, sf)).count()
+    assert sum("text" in c or "_u" in c for c in written) == 1
+
+
+def test_crowded_pages_lose_the_same_fragments(spark, monkeypatch):
+    from quire.operators import headings as HD
+
+    rows = [(1, p, "heading", i, t) for p in (1, 2) for i, t in enumerate(["Ab", "abc", "b", "Abc d", "c", "cd", "x"][: 7 - 3 * (p - 1)])]
+    rows.append((1, 1, "removed", 90, "X"))
+    rows.append((1, 2, "removed", 91, "x"))
+    items = spark.createDataFrame(rows, "doc_id long, page_no int, kind string, seq int, text string")
+    want = {(1, 1, "b"), (1, 1, "Abc d"), (1, 1, "cd"), (1, 2, "b"), (1, 2, "Abc d")}
+    for limit in (20_000, 5):
+        monkeypatch.setattr(HD, "PAGE_TEXTS", limit)
+        got = {tuple(r) for r in HD.clean_headings(items).select("doc_id", "page_no", "text").collect()}
+        assert got == want
