@@ -84,14 +84,20 @@ def resolve_duplicate_lines(
 ) -> DataFrame:
     """Keep one of two lines that cover the same place: the one with clearly more characters,
     else the more confident one, else the earlier.  The survivor gets the higher confidence."""
-    placed = box_clusters(
-        lines, F.col("x"), F.col("y"),
-        F.col("x") + F.col("width"), F.col("y") + F.col("height"),
+    # Lines meet as rows of numbers; their texts and what else they carry join the survivors at the end.
+    light = lines.select(
+        *PAGE, "line_id", "x", "y", "width", "height", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "is_vertical",
+        F.length(F.regexp_replace("text", r"(?U)\s+", "")).alias("chars"), F.col("confidence").alias("_given"),
     )
-    alone, near = _crowded(placed)
-    small = near.select(
-        *PART, "line_id", "x", "y", "width", "height", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "is_vertical",
-        F.length(F.regexp_replace("text", r"(?U)\s+", "")).alias("chars"),
+    placed = settle(box_clusters(
+        light, F.col("x"), F.col("y"),
+        F.col("x") + F.col("width"), F.col("y") + F.col("height"),
+    ))
+    sizes = placed.groupBy(*PART).agg(F.count(F.lit(1)).alias("_n"))
+    parts = settle(placed.join(sizes, PART))
+    alone = parts.filter("_n = 1").select(*PAGE, "line_id", F.col("_given").alias("_conf"))
+    small = parts.filter("_n > 1").select(
+        *PART, "line_id", "x", "y", "width", "height", "confidence", "is_vertical", "chars"
     )
 
     def settle_part(rows: list[tuple]) -> list[tuple]:
@@ -125,8 +131,8 @@ def resolve_duplicate_lines(
     settled = per_group(
         small, PART, ["line_id"], settle_part, "doc_id long, page_no int, line_id int, _conf double"
     )
-    merged = near.join(settled, [*PAGE, "line_id"]).withColumn("confidence", F.col("_conf"))
-    return alone.select(*lines.columns).unionByName(merged.select(*lines.columns))
+    kept = alone.unionByName(settled)
+    return lines.join(kept, [*PAGE, "line_id"]).withColumn("confidence", F.col("_conf")).select(*lines.columns)
 
 
 def _same_place(a: tuple, b: tuple, cross: float, along: float) -> bool:
