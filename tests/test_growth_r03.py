@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import grouping, tables
 
 
 def _analyzed(df):
@@ -16,3 +17,15 @@ def test_joining_trims_a_line_once(spark):
         # Named in the lambda of every element, all lines were trimmed again for each of them.
         assert _analyzed(out).count("btrim") + _analyzed(out).count("trim(both") <= 1
         assert out.collect()[0].t == text
+
+
+def test_a_band_meets_its_items_in_one_join(spark, monkeypatch):
+    stored = []
+    for module in (grouping, tables):
+        monkeypatch.setattr(module, "settle", lambda df, keep=module.settle: stored.append(df) or keep(df))
+    rows = [(1, 1, 10 * i + j, f"{i}{j}", 100 * j, 40 * i, 20) for i in range(3) for j in range(3)] + [(2, 1, 1, " x ", 0, 0, 20)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_no int, line_id int, text string, x int, y int, height int")
+    out = tables.join_cell_text(lines, ["doc_id", "page_no"])
+    # The counts, the lines of crowded cells and the lines with their bands.
+    assert len(stored) == 3
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "00 01 02 10 11 12 20 21 22", 2: "x"}
