@@ -20,10 +20,18 @@ from quire.operators.staging import settle
 
 # --- tiers ---------------------------------------------------------------------------
 
+def without_runaway(lines: DataFrame, mode: str = "app") -> DataFrame:
+    """Repeated text removed, blank lines dropped.
+
+    The cleaned text comes out of a generator: a filter on a plain column would be moved before it and clean every line twice.
+    """
+    cleaned = lines.withColumn("text", F.explode_outer(F.array(clean_runaway("text", mode))))
+    return cleaned.filter(~is_blank("text"))
+
+
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Repeated text removed, blank lines dropped, equal lines folded."""
-    cleaned = lines.withColumn("text", clean_runaway("text", "app")).filter(~is_blank("text"))
-    return dedupe_lines(cleaned)
+    return dedupe_lines(without_runaway(lines))
 
 
 def _extents(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import grouping, tables
+from quire.operators import grouping, reading, tables
 
 
 def _analyzed(df):
@@ -29,3 +29,17 @@ def test_a_band_meets_its_items_in_one_join(spark, monkeypatch):
     # The counts, the lines of crowded cells and the lines with their bands.
     assert len(stored) == 3
     assert {r.doc_id: r.text for r in out.collect()} == {1: "00 01 02 10 11 12 20 21 22", 2: "x"}
+
+
+def test_runaway_texts_are_cleaned_once(spark):
+    rows = [
+        "aaaaa tail", "  x ok x  ", "no no no no end", "(a b) (a b) (a b) (a b)z", "1999l. and 2001a1.", "ab\nababababab",
+        "ababababab\nab", "　\u00a0", "", None, "cut 漢漢漢漢漢", "é é é é ", "haha haha",
+    ]
+    lines = spark.createDataFrame(list(enumerate(rows)), "line_id int, text string")
+    out = reading.without_runaway(lines)
+    # A filter on the cleaned text had every expression of it twice in the plan.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\\d{4}[a-z]?)l") == 1
+    assert {r.line_id: r.text for r in out.collect()} == {
+        1: "x ok x", 3: "(a b) (a b) (a b) (a b)z", 4: "1999]. and 2001a].", 5: "ab", 6: "ababababab\nab", 10: "cut", 11: "é é é é", 12: "haha haha",
+    }
