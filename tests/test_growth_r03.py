@@ -1,5 +1,6 @@
 """Steps whose work must not grow faster than their input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -43,3 +44,25 @@ def test_runaway_texts_are_cleaned_once(spark):
     assert {r.line_id: r.text for r in out.collect()} == {
         1: "x ok x", 3: "(a b) (a b) (a b) (a b)z", 4: "1999]. and 2001a].", 5: "ab", 6: "ababababab\nab", 10: "cut", 11: "é é é é", 12: "haha haha",
     }
+
+
+def test_branches_of_a_page_build_run_at_the_same_time(spark, monkeypatch):
+    from threading import Barrier
+
+    from quire.plans import document
+
+    met = Barrier(5)
+
+    class Met(Exception):
+        pass
+
+    def meet(*_, **__):
+        met.wait(60)
+        raise Met
+
+    for step in ("format_paragraphs", "reading_order", "extract_tables"):
+        monkeypatch.setattr(document, step, meet)
+    lines = spark.createDataFrame([(1, 1, 1, "a", 0, 0, 10, 10, False)], "doc_id long, page_no int, line_id int, text string, x int, y int, width int, height int, is_vertical boolean")
+    regions = spark.createDataFrame([], "doc_id long, page_no int, region_seq int, name string, type string, orientation string, x int, y int, width int, height int, rule_lines array<struct<is_vertical: boolean, pos: int, start: int, end: int>>")
+    with pytest.raises(Met):
+        document.build_pages(lines, regions, regions)
