@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import PAGE
-from quire.functions.text import is_blank, join_spaced_alnum, strip
+from quire.functions.text import given, is_blank, join_spaced_alnum, strip
 from quire.operators.ordered import numbered, running, span
 from quire.operators.staging import settle
 
@@ -197,23 +197,26 @@ def cell_split_index(text: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
         lambda i: (i <= n - 2) & at(i).rlike(space) & ~at(i - 1).rlike(space),
     )
-    brackets = F.filter(spots, lambda i: at(i - 1).rlike(r"[)）\]］}｝]"))
 
     def script_change(i: Column) -> Column:
         rest = F.regexp_replace(F.substring(text, i + 1, n), r"(?U)^[\s　]+", "")
         return (rest != "") & (at(i - 1).rlike(cjk) != rest.rlike(cjk))
 
-    changes = F.filter(spots, script_change)
-    near = F.array_min(
-        F.transform(spots, lambda i: F.struct(F.abs(width(i + 1) - width(n) / 2).alias("d"), i.alias("i")))
-    )["i"]
-    return (
-        F.when(F.size(spots) == 0, -1)
-        .when(F.size(spots) == 1, F.get(spots, F.lit(0)))
-        .when(F.size(brackets) > 0, F.element_at(brackets, -1))
-        .when(F.size(changes) > 0, F.get(changes, F.lit(0)))
-        .otherwise(near)
-    )
+    def best(spots: Column) -> Column:
+        brackets = F.filter(spots, lambda i: at(i - 1).rlike(r"[)）\]］}｝]"))
+        changes = F.filter(spots, script_change)
+        near = F.array_min(
+            F.transform(spots, lambda i: F.struct(F.abs(width(i + 1) - width(n) / 2).alias("d"), i.alias("i")))
+        )["i"]
+        return (
+            F.when(F.size(spots) == 0, -1)
+            .when(F.size(spots) == 1, F.get(spots, F.lit(0)))
+            .when(F.size(brackets) > 0, F.element_at(brackets, -1))
+            .when(F.size(changes) > 0, F.get(changes, F.lit(0)))
+            .otherwise(near)
+        )
+
+    return given(spots, best)
 
 
 def split_cells(
@@ -221,7 +224,9 @@ def split_cells(
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Split edited cells at their best space; the right part goes before the text of the next
     cell.  Give no two edits that share a cell.  ``spans`` as in ``shift_cells``."""
-    at = _beside(grid_cells, edits, 1).withColumn("_at", cell_split_index(F.coalesce("text", F.lit(""))))
+    # Out of a generator: as a plain column the search would run again wherever the index is used.
+    index = F.explode(F.array(cell_split_index(F.coalesce("text", F.lit("")))))
+    at = _beside(grid_cells, edits, 1).withColumn("_at", index)
     left = strip(F.left("text", F.col("_at")))
     right = strip(F.substring("text", F.col("_at") + 1, F.length("text")))
     moved = at.filter("_at > 0").withColumns({"_l": left, "_r": right}).filter("_r <> ''")

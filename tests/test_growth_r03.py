@@ -66,3 +66,41 @@ def test_branches_of_a_page_build_run_at_the_same_time(spark, monkeypatch):
     regions = spark.createDataFrame([], "doc_id long, page_no int, region_seq int, name string, type string, orientation string, x int, y int, width int, height int, rule_lines array<struct<is_vertical: boolean, pos: int, start: int, end: int>>")
     with pytest.raises(Met):
         document.build_pages(lines, regions, regions)
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("parse", ["parse_ocr_lines", "parse_display_lines"])
+def test_a_json_line_is_read_once(spark, parse):
+    from quire.sources import pages
+
+    item = '{"text": "%s", "confidence": 0.9, "boundingBox": [[1, 2], [1, 42], [51, 2], [51, 42]]}'
+    raws = ['{"contents": [[%s]]}' % item % "ab", '{"results": [%s]}' % item % "[{ \\\\\" cd", "{", "", "[]"]
+    df = spark.createDataFrame([(1, i, r) for i, r in enumerate(raws)], "doc_id long, page_no int, raw string")
+    out = getattr(pages, parse)(df)
+    # Every side of the box and every test on a line read its fields anew.
+    assert _optimized(out).count("boundingBox") == 1
+    got = {tuple(r) for r in out.select("page_no", "text", "x", "y", "width", "height").collect()}
+    assert got == {(0, "ab", 1, 2, 50, 40), (1, "[{ \\\\ cd", 1, 2, 50, 40)}
+
+
+def test_nesting_counts_every_level(spark):
+    from quire.sources.pages import _nesting
+
+    texts = ["", "1", "[]", "{}", '[{"a": [[1], [2, {"b": "[[["}]]}]', "[" * 40 + "]" * 40, '{"a": [], "b": {"c": {}}}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(_nesting(F.col("t")).alias("n")).collect()] == [0, 0, 1, 1, 5, 40, 3]
+
+
+def test_a_cell_looks_for_its_split_once(spark):
+    from quire.operators import grid
+
+    cells = spark.createDataFrame(
+        [(1, 1, 1, 1, 1, "12a b"), (1, 1, 1, 1, 2, "c"), (1, 1, 1, 2, 1, "(x) y z")],
+        "doc_id long, page_no int, table_seq int, row_no int, col_no int, text string",
+    )
+    out = grid.split_cells(cells, cells.filter("col_no = 1"))
+    assert _optimized(out).count("3400") <= 4
+    assert {(r.row_no, r.col_no): r.text for r in out.collect()} == {(1, 1): "12a", (1, 2): "b c", (2, 1): "(x)", (2, 2): "y z"}
