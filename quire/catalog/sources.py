@@ -7,7 +7,7 @@ from quire.catalog.base import SPACE, d_strip, query
 from quire.catalog.lines import LINES
 from quire.catalog.reading import WORD, d_cut, d_years
 from quire.catalog.text import UNWRAP
-from quire.operators.staging import fresh_path
+from quire.operators.staging import fresh_path, settle
 from quire.plans import fixtures as X
 from quire.sources import page_store
 from quire.sources import pages as P
@@ -53,7 +53,7 @@ _MARKS = "._,-~|''`\"^*:;・+=/\\()[]{}<>"
 def _(spark, sf):
     from quire.operators.ordered import numbered, span
 
-    lines = P.parse_ocr_lines(engine_pages(spark, sf))
+    lines = settle(P.parse_ocr_lines(engine_pages(spark, sf)))
     out = numbered(lines, PAGE, [F.col("line_id")], span("line_id", 4096), "i")
     return out.select(*PAGE, "i", "text", "x", "y", "width", "height", "is_vertical")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import _c, strip
+from quire.functions.text import _c, given, strip
 
 # Layout classes whose boxes are text lines.
 LINE_CLASSES = [1, 2, 3, 4, 5, 16]
@@ -14,20 +14,28 @@ LINE_CLASSES = [1, 2, 3, 4, 5, 16]
 def polygon_to_box(points: Column | str) -> Column:
     """``ARRAY<ARRAY<number>>`` to an integer ``STRUCT<x, y, width, height>``; null when the
     box has no area."""
-    points = _c(points)
-    xs = F.transform(points, lambda p: F.get(p, F.lit(0)).cast("double"))
-    ys = F.transform(points, lambda p: F.get(p, F.lit(1)).cast("double"))
 
     def whole(c: Column) -> Column:
         return F.bround(c, 0).cast("int")
 
-    box = F.struct(
-        whole(F.array_min(xs)).alias("x"),
-        whole(F.array_min(ys)).alias("y"),
-        whole(F.array_max(xs) - F.array_min(xs)).alias("width"),
-        whole(F.array_max(ys) - F.array_min(ys)).alias("height"),
-    )
-    return F.when((box["width"] > 0) & (box["height"] > 0), box)
+    def side(p: Column, i: int) -> Column:
+        values = F.transform(p, lambda q: F.get(q, F.lit(i)).cast("double"))
+        return given(values, lambda v: F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")))
+
+    def sides(p: Column) -> Column:
+        return F.struct(side(p, 0).alias("x"), side(p, 1).alias("y"))
+
+    def box(s: Column) -> Column:
+        return F.struct(
+            whole(s["x"]["low"]).alias("x"),
+            whole(s["y"]["low"]).alias("y"),
+            whole(s["x"]["high"] - s["x"]["low"]).alias("width"),
+            whole(s["y"]["high"] - s["y"]["low"]).alias("height"),
+        )
+
+    # The points are read once, not again for every side and test of the box.
+    found = given(_c(points), lambda p: given(sides(p), box))
+    return given(found, lambda b: F.when((b["width"] > 0) & (b["height"] > 0), b))
 
 
 def int_center(start: Column | str, size: Column | str) -> Column:

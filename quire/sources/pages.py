@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from quire import PAGE
 from quire.functions.geometry import cluster_array, line_bucket, polygon_to_box
-from quire.functions.text import clean_runaway, is_blank, strip
+from quire.functions.text import given, is_blank, strip
 from quire.operators.headings import clean_headings, reclassify_headings
 from quire.operators.lines import drop_noise_lines
 from quire.operators.ordered import first_per
 from quire.operators.paragraphs import unwrap_paragraphs
+from quire.operators.reading import without_runaway
 from quire.operators.staging import settle
 from quire.sources import page_store
 
@@ -94,13 +95,24 @@ def _line_fields(item: Column) -> list[Column]:
 _LINE = ["line_id", "text", "x", "y", "width", "height", "confidence", "is_vertical", "class_index"]
 
 
+def _once(value: Column) -> Column:
+    """``value`` out of a generator: used as a plain column, every use would compute it again."""
+    return F.explode(F.array(value))
+
+
+def _lines(found: DataFrame) -> DataFrame:
+    """Rows of the page key, ``line_id`` and the fields ``l`` as lines; those without a box go."""
+    lines = found.filter("l.box IS NOT NULL").select(*PAGE, "line_id", "l.*")
+    return lines.select(*PAGE, "line_id", "text", "box.*", "confidence", "is_vertical", "class_index")
+
+
 def parse_ocr_lines(df: DataFrame, col: str = "raw") -> DataFrame:
     """Lines of engine JSON.  Items without a usable box, blank lines and noise drop out one
     by one; repeated text is cut."""
-    items = df.select(*PAGE, F.posexplode(_items(F.try_parse_json(col))).alias("line_id", "item"))
-    lines = items.select(*PAGE, "line_id", *_line_fields(F.col("item"))).filter("box IS NOT NULL")
-    lines = lines.select(*PAGE, "line_id", "text", "box.*", "confidence", "is_vertical", "class_index")
-    return drop_noise_lines(lines.withColumn("text", clean_runaway("text", "region"))).select(*PAGE, *_LINE)
+    parsed = df.select(*PAGE, _once(F.try_parse_json(col)).alias("v"))
+    items = parsed.select(*PAGE, F.posexplode(_items(F.col("v"))).alias("line_id", "item"))
+    lines = _lines(items.select(*PAGE, "line_id", _once(F.struct(*_line_fields(F.col("item")))).alias("l")))
+    return drop_noise_lines(without_runaway(lines, "region")).select(*PAGE, *_LINE)
 
 
 def parse_document_json(df: DataFrame, col: str = "raw") -> DataFrame:
@@ -110,8 +122,7 @@ def parse_document_json(df: DataFrame, col: str = "raw") -> DataFrame:
     )
     items = F.coalesce(_get(F.col("page"), "$", "array<variant>"), F.array("page"))
     lines = pages.select("doc_id", (F.col("_p") + 1).alias("page_no"), F.posexplode(items).alias("line_id", "item"))
-    lines = lines.select(*PAGE, "line_id", *_line_fields(F.col("item"))).filter("box IS NOT NULL")
-    return lines.select(*PAGE, "line_id", "text", "box.*", "confidence", "is_vertical", "class_index").select(*PAGE, *_LINE)
+    return _lines(lines.select(*PAGE, "line_id", _once(F.struct(*_line_fields(F.col("item")))).alias("l"))).select(*PAGE, *_LINE)
 
 
 def read_ocr_lines(spark: SparkSession, root: str, name: str = "*.json") -> DataFrame:
@@ -132,30 +143,42 @@ def _display_box(item: Column) -> Column:
 
     direct = box(whole("$.x", "$.X"), whole("$.y", "$.Y"), whole("$.width", "$.Width"), whole("$.height", "$.Height"))
     points = F.filter(_get(item, "$.boundingBox", "array<array<int>>"), lambda p: F.size(p) >= 2)
-    xs = F.transform(points, lambda p: F.get(p, F.lit(0)))
-    ys = F.transform(points, lambda p: F.get(p, F.lit(1)))
-    polygon = box(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    flat = _get(item, "$.bbox", "array<int>")
-    a, b, c, d = (F.get(flat, F.lit(i)) for i in range(4))
-    # A second corner right of and below the first is a corner, else it is a size.
-    corner = box(a, b, F.when(c >= a, c - a).otherwise(c), F.when(d >= b, d - b).otherwise(d))
-    zero = box(*[F.lit(0)] * 4)
+
+    def polygon(p: Column) -> Column:
+        xs = F.transform(p, lambda q: F.get(q, F.lit(0)))
+        ys = F.transform(p, lambda q: F.get(q, F.lit(1)))
+        return box(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+
+    def corner(flat: Column) -> Column:
+        a, b, c, d = (F.get(flat, F.lit(i)) for i in range(4))
+        # A second corner right of and below the first is a corner, else it is a size.
+        return F.when(F.size(flat) >= 4, box(a, b, F.when(c >= a, c - a).otherwise(c), F.when(d >= b, d - b).otherwise(d)))
+
     has_x = _get(item, "$.x", "variant").isNotNull() | _get(item, "$.X", "variant").isNotNull()
-    return (
-        F.when(has_x, direct).when(F.size(points) > 0, polygon).when(F.size(flat) >= 4, corner).otherwise(zero)
+    placed = F.coalesce(
+        given(points, lambda p: F.when(F.size(p) > 0, polygon(p))), given(_get(item, "$.bbox", "array<int>"), corner),
+        box(*[F.lit(0)] * 4),
     )
+    return F.when(has_x, direct).otherwise(placed)
 
 
 def _nesting(text: Column) -> Column:
     """How many brackets of a JSON text are open at once at most."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
 
     def step(acc: Column, mark: Column) -> Column:
         now = acc["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+    def depth(marks: Column, pared: int) -> Column:
+        if pared == 0:
+            start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+            return F.aggregate(F.split(marks, ""), start, step, lambda acc: acc["most"])
+        # Without its innermost pairs a text is one level less deep; a few passes leave little to walk through.
+        rest = given(F.regexp_replace(marks, r"\[\]|\{\}", ""), lambda m: depth(m, pared - 1))
+        return F.when(marks == "", 0).otherwise(1 + rest)
+
+    return given(F.regexp_replace(bare, r"[^\[\]{}]+", ""), lambda m: depth(m, 4))
 
 
 def _objects_with_text(v: Column, levels: Column) -> Column:
@@ -177,10 +200,12 @@ def _objects_with_text(v: Column, levels: Column) -> Column:
         return F.transform(found, lambda c, i: F.struct(F.concat(n["at"], F.array(i)).alias("at"), c.alias("item")))
 
     def step(acc: Column, _: Column) -> Column:
-        below = F.transform(F.filter(acc["open"], lambda n: ~has_text(n)), lambda n: F.coalesce(children(n), node))
-        return F.struct(
-            F.concat(acc["found"], F.filter(acc["open"], has_text)).alias("found"), F.flatten(below).alias("open")
-        )
+        def split(marked: Column) -> Column:
+            hits = F.transform(F.filter(marked, lambda m: m["hit"]), lambda m: m["n"])
+            below = F.transform(F.filter(marked, lambda m: ~m["hit"]), lambda m: F.coalesce(children(m["n"]), node))
+            return F.struct(F.concat(acc["found"], hits).alias("found"), F.flatten(below).alias("open"))
+
+        return given(F.transform(acc["open"], lambda n: F.struct(n.alias("n"), has_text(n).alias("hit"))), split)
 
     root = F.array(F.struct(F.array().cast("array<int>").alias("at"), v.alias("item")))
     start = F.struct(node.alias("found"), root.alias("open"))
@@ -190,18 +215,21 @@ def _objects_with_text(v: Column, levels: Column) -> Column:
 def parse_display_lines(df: DataFrame, col: str = "raw") -> DataFrame:
     """Lines as the viewer shows them: a ``results`` list, or any object with text at whatever
     depth, in document order.  Noise and repeats drop out."""
-    parsed = df.select(*PAGE, F.try_parse_json(col).alias("v"), _nesting(F.col(col)).alias("levels"))
+    parsed = df.select(*PAGE, _once(F.struct(F.try_parse_json(col).alias("v"), F.col(col).alias("raw"))).alias("p"))
+    parsed = parsed.filter("p.v IS NOT NULL").select(*PAGE, "p.*")
     results = _get(F.col("v"), "$.results", "array<variant>")
     listed = F.transform(results, lambda c, i: F.struct(F.array(i).alias("at"), c.alias("item")))
-    nodes = F.when(F.size(results) > 0, listed).otherwise(_objects_with_text(F.col("v"), F.col("levels")))
-    found = parsed.filter("v IS NOT NULL").select(*PAGE, F.explode(nodes).alias("n")).select(*PAGE, "n.at", "n.item")
+    nodes = F.when(F.size(results) > 0, listed).otherwise(_objects_with_text(F.col("v"), _nesting(F.col("raw"))))
+    found = parsed.select(*PAGE, F.explode(nodes).alias("n")).select(*PAGE, "n.at", "n.item")
     item = F.col("item")
     text = F.coalesce(_get(item, "$.text", "string"), _get(item, "$.Text", "string"))
     conf = F.coalesce(_get(item, "$.confidence", "double"), _get(item, "$.Confidence", "double"))
-    lines = found.select(
-        *PAGE, "at", text.alias("text"), _display_box(item).alias("box"), conf.alias("confidence"),
+    fields = F.struct(
+        text.alias("text"), _display_box(item).alias("box"), conf.alias("confidence"),
         F.coalesce(F.lower(_get(item, "$.isVertical", "string")) == "true", F.lit(False)).alias("is_vertical"),
-    ).select(*PAGE, "at", "text", "box.*", "confidence", "is_vertical")
+    )
+    lines = found.select(*PAGE, "at", _once(fields).alias("l")).select(*PAGE, "at", "l.*")
+    lines = lines.select(*PAGE, "at", "text", "box.*", "confidence", "is_vertical")
     t = strip("text")
     noise = (F.col("confidence") <= 0.01) & (
         (F.length(t) <= 1) | ((F.length(t) <= 3) & t.rlike(r"(?U)^[\p{P}\s~|`^+=<>ー]*$"))
