@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import PAGE
 from quire.functions.geometry import int_center, normalize_region_type, region_display_name
-from quire.functions.text import is_blank
+from quire.functions.text import given, is_blank
 from quire.operators.bands import BAND, band_anti, band_join, grid_join, prefixed
 from quire.operators.ordered import first_per, numbered, span
 from quire.operators.staging import per_group, settle
@@ -207,6 +207,84 @@ def segments_in_regions(segments: DataFrame, regions: DataFrame, tol: int = 3) -
     )
 
 
+#: Segments of a page, and rectangles of a page, that are looked at within one row; of more, rows are joined.
+PAGE_SEGMENTS = 64
+PAGE_RECTANGLES = 256
+
+
+def _by_page_size(df: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of pages with up to ``most`` rows, and those of the other pages if there are any."""
+    counts = df.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = settle(counts.filter(F.col("_n") > most).select(*PAGE))
+    if crowded.isEmpty():
+        return df, None
+    return df.join(crowded, PAGE, "left_anti"), df.join(crowded, PAGE, "left_semi")
+
+
+def _bordered_by_page(
+    segments: DataFrame, pages: DataFrame, open_tables: bool, min_size: int, touch: int, overhang: int
+) -> DataFrame:
+    """``bordered_regions`` of pages with few segments, each page in one row."""
+    rule = F.struct("pos", "start", "end", F.col("ord").isNull().alias("no_ord"), "ord")
+    grouped = segments.groupBy(*PAGE).agg(
+        F.array_sort(F.collect_set(F.when(F.col("orient") == "h", rule))).alias("_all"),
+        F.collect_set(F.when(F.col("orient") == "v", F.struct("pos", "start", "end"))).alias("_posts"),
+    )
+    # Of equal rules the first one stays.
+    place = lambda r: F.struct(r["pos"], r["start"], r["end"])
+    fresh = F.filter("_all", lambda r, i: (i == 0) | (place(r) != place(F.get("_all", i - 1))))
+    grouped = grouped.filter(F.size("_all") > 1).select(*PAGE, F.explode(F.array(fresh)).alias("_rules"), "_posts")
+    least = F.greatest(F.lit(float(min_size)), F.col("width") * 0.2).alias("_least")
+    if open_tables:
+        grouped = grouped.join(pages.select(*PAGE, least), PAGE, "left")
+
+    def box(p: Column) -> Column:
+        y1, y2, cx1, cx2 = p["y1"], p["y2"], p["cx1"], p["cx2"]
+        crossing = F.filter(
+            "_posts", lambda v: v["pos"].between(cx1, cx2) & (v["start"] - touch <= y1) & (y2 <= v["end"] + touch)
+        )
+
+        def framed(xs: Column) -> Column:
+            vl, vr = F.array_min(xs), F.array_max(xs)
+            x1 = F.when(vl - cx1 > overhang, cx1).otherwise(vl)
+            x2 = F.when(cx2 - vr > overhang, cx2).otherwise(vr)
+            closed = F.when(vl < vr, F.struct(x1.alias("x1"), x2.alias("x2")))
+            if not open_tables:
+                return closed
+            inner = F.exists(
+                "_rules", lambda m: (m["pos"] > y1 + 5) & (m["pos"] < y2 - 5) & (F.greatest(m["start"], cx1) < F.least(m["end"], cx2))
+            ) | F.exists(
+                "_posts", lambda v: v["pos"].between(cx1 - 10, cx2 + 10) & (v["start"] <= y2 + 15) & (v["end"] >= y1 - 15)
+            )
+            return F.coalesce(closed, F.when((cx2 - cx1 >= F.col("_least")) & inner, F.struct(cx1.alias("x1"), cx2.alias("x2"))))
+
+        sides = given(F.transform(crossing, lambda v: v["pos"]), framed)
+        return given(
+            sides,
+            lambda s: F.struct(
+                p["t_ord"].alias("t_ord"), p["b_ord"].alias("b_ord"), s["x1"].alias("x"), y1.alias("y"),
+                (s["x2"] - s["x1"]).alias("width"), (y2 - y1).alias("height"),
+            ),
+        )
+
+    def under(t: Column) -> Column:
+        below = F.filter("_rules", lambda b: (b["pos"] - t["pos"] >= min_size) & (t["ord"] < b["ord"]))
+        return F.transform(
+            below,
+            lambda b: given(
+                F.struct(
+                    t["ord"].alias("t_ord"), b["ord"].alias("b_ord"), t["pos"].alias("y1"), b["pos"].alias("y2"),
+                    F.greatest(t["start"], b["start"]).alias("cx1"), F.least(t["end"], b["end"]).alias("cx2"),
+                ),
+                box,
+            ),
+        )
+
+    boxes = F.filter(F.flatten(F.transform("_rules", under)), lambda r: (r["width"] >= min_size) & (r["height"] >= min_size))
+    found = grouped.select(*PAGE, F.posexplode(F.array_sort(F.array_distinct(boxes))).alias("_i", "_r"))
+    return found.select(*PAGE, (F.col("_i") + 1).alias("region_seq"), "_r.x", "_r.y", "_r.width", "_r.height")
+
+
 def bordered_regions(
     segments: DataFrame,
     pages: DataFrame,
@@ -221,10 +299,19 @@ def bordered_regions(
     Closed ones are found through the verticals: each meets the rules it crosses, and two rules
     that share two verticals are an answer.  Open ones are pairs of rules that overlap over a
     fifth of the page's width, so only rules of that length are paired; whether a pair has an
-    inner rule is asked without making a row for each.  Equal rules are folded first.  Segments
+    inner rule is asked without making a row for each.  A page with few segments is settled
+    within one row.  Equal rules are folded first.  Segments
     with a null in any place are no rules; a page without a known width has no open rectangles.
     """
-    segments = segments.dropna(subset=["pos", "start", "end"])
+    used = segments.dropna(subset=[*PAGE, "pos", "start", "end"]).select(*PAGE, "orient", "pos", "start", "end", "ord")
+    few, many = _by_page_size(settle(used), PAGE_SEGMENTS)
+    out = _bordered_by_page(few, pages, open_tables, min_size, touch, overhang)
+    return out if many is None else out.unionByName(_bordered_by_rows(many, pages, open_tables, min_size, touch, overhang))
+
+
+def _bordered_by_rows(
+    segments: DataFrame, pages: DataFrame, open_tables: bool, min_size: int, touch: int, overhang: int
+) -> DataFrame:
     rules = segments.filter("orient = 'h'").groupBy(*PAGE, "pos", "start", "end").agg(
         F.min("ord").alias("ord")
     )
@@ -298,6 +385,34 @@ def drop_contained(regions: DataFrame, margin: int = 5, mode: str = "all") -> Da
     area = (F.col("width").cast("long") * F.col("height")).alias("area")
     if mode == "largest":
         return first_per(regions, PAGE, [-area, F.col("region_seq")])
+    few, many = _by_page_size(settle(regions), PAGE_RECTANGLES)
+    kept = _outermost_by_page(few, margin)
+    return kept if many is None else kept.unionByName(_outermost_by_rows(many, margin))
+
+
+def _outermost_by_page(regions: DataFrame, margin: int) -> DataFrame:
+    """``drop_contained`` of pages with few rectangles: from the largest on, each is held against those kept."""
+    rest = [c for c in regions.columns if c not in PAGE]
+    size = F.struct((-F.col("width").cast("long") * F.col("height")).alias("a"), F.col("region_seq").alias("s"))
+    rows = F.collect_list(F.struct(size.alias("k"), F.struct(*rest).alias("r")))
+    by_size = lambda p, q: F.when(p["k"] < q["k"], -1).when(p["k"] > q["k"], 1).otherwise(0)
+
+    def holds(o: Column, i: Column) -> Column:
+        return (
+            (o["x"] <= i["x"] + margin) & (o["y"] <= i["y"] + margin)
+            & (o["x"] + o["width"] >= i["x"] + i["width"] - margin) & (o["y"] + o["height"] >= i["y"] + i["height"] - margin)
+        )
+
+    def add(kept: Column, row: Column) -> Column:
+        return F.when(F.exists(kept, lambda o: F.coalesce(holds(o, row), F.lit(False))), kept).otherwise(F.concat(kept, F.array(row)))
+
+    row = regions.select(F.struct(*rest)).schema[0].dataType.simpleString()
+    ordered = F.transform(F.array_sort(rows, by_size), lambda p: p["r"])
+    kept = F.aggregate(ordered, F.array().cast(f"array<{row}>"), add)
+    return regions.groupBy(*PAGE).agg(F.explode(kept).alias("_r")).select(*PAGE, "_r.*").select(*regions.columns)
+
+
+def _outermost_by_rows(regions: DataFrame, margin: int) -> DataFrame:
     # Equal rectangles cannot both stay: the first one contains the others.
     ranked = regions.groupBy(*PAGE, "x", "y", "width", "height").agg(F.min("region_seq").alias("region_seq"))
     ranked = settle(ranked.withColumn("area", F.col("width").cast("long") * F.col("height")))

@@ -77,13 +77,13 @@ def test_a_json_line_is_read_once(spark, parse):
     from quire.sources import pages
 
     item = '{"text": "%s", "confidence": 0.9, "boundingBox": [[1, 2], [1, 42], [51, 2], [51, 42]]}'
-    raws = ['{"contents": [[%s]]}' % item % "ab", '{"results": [%s]}' % item % "[{ \\\\\" cd", "{", "", "[]"]
+    raws = ['{"contents": [[%s]]}' % (item % "ab"), '{"results": [%s]}' % (item % '[{ \\\\\\" cd'), "{", "", "[]"]
     df = spark.createDataFrame([(1, i, r) for i, r in enumerate(raws)], "doc_id long, page_no int, raw string")
     out = getattr(pages, parse)(df)
     # Every side of the box and every test on a line read its fields anew.
     assert _optimized(out).count("boundingBox") == 1
     got = {tuple(r) for r in out.select("page_no", "text", "x", "y", "width", "height").collect()}
-    assert got == {(0, "ab", 1, 2, 50, 40), (1, "[{ \\\\ cd", 1, 2, 50, 40)}
+    assert got == {(0, "ab", 1, 2, 50, 40), (1, '[{ \\" cd', 1, 2, 50, 40)}
 
 
 def test_nesting_counts_every_level(spark):
@@ -104,3 +104,35 @@ def test_a_cell_looks_for_its_split_once(spark):
     out = grid.split_cells(cells, cells.filter("col_no = 1"))
     assert _optimized(out).count("3400") <= 4
     assert {(r.row_no, r.col_no): r.text for r in out.collect()} == {(1, 1): "12a", (1, 2): "b c", (2, 1): "(x)", (2, 2): "y z"}
+
+
+def test_small_pages_are_settled_within_one_row(spark, monkeypatch):
+    import random
+
+    from quire.operators import regions as R
+
+    rng = random.Random(3)
+    rows = []
+    for page in range(1, 31):
+        for ord_ in range(rng.randint(0, 16)):
+            start = rng.randrange(0, 150, 50)
+            rows.append((1, page, rng.choice("hv"), rng.randrange(0, 400, 20), start, start + rng.randrange(100, 500, 50), ord_))
+    rows += [(1, 1, "h", None, 0, 9, 90), (1, 2, "h", 5, 0, 500, None), (None, 3, "h", 5, 0, 500, 91), (1, 4, None, 5, 0, 500, 92)]
+    segments = spark.createDataFrame(rows, "doc_id long, page_no int, orient string, pos int, start int, end int, ord int")
+    pages = spark.createDataFrame([(1, p, None if p == 5 else 800, 600) for p in range(1, 28)], "doc_id long, page_no int, width int, height int")
+    stored, found = [], {}
+    monkeypatch.setattr(R, "settle", lambda df, keep=R.settle: stored.append(df) or keep(df))
+    for most in (64, 0):
+        monkeypatch.setattr(R, "PAGE_SEGMENTS", most)
+        monkeypatch.setattr(R, "PAGE_RECTANGLES", most)
+        for open_tables in (True, False):
+            boxes = R.bordered_regions(segments, pages, open_tables)
+            found[most, open_tables] = sorted(tuple(r) for r in boxes.collect())
+            for margin in (5, 60):
+                kept = R.drop_contained(boxes, margin).select("doc_id", "page_no", "x", "y", "width", "height")
+                found[most, open_tables, margin] = sorted(tuple(r) for r in kept.collect())
+        if most:
+            # Joined by rows, each of the six calls stored four frames or more.
+            assert len(stored) == 2 * 6
+    assert len(found[64, True, 60]) < len(found[64, True, 5]) < len(found[64, True]) > len(found[64, False]) > 20
+    assert {k[1:]: v for k, v in found.items() if k[0] == 64} == {k[1:]: v for k, v in found.items() if k[0] == 0}
