@@ -136,3 +136,9 @@ def test_small_pages_are_settled_within_one_row(spark, monkeypatch):
             assert len(stored) == 2 * 6
     assert len(found[64, True, 60]) < len(found[64, True, 5]) < len(found[64, True]) > len(found[64, False]) > 20
     assert {k[1:]: v for k, v in found.items() if k[0] == 64} == {k[1:]: v for k, v in found.items() if k[0] == 0}
+
+
+def test_tangled_rows_are_walked_once(spark, sf):
+    from quire.catalog import QUERIES
+
+    assert "MapInPandas" not in _optimized(QUERIES["group_rows_crowded"](spark, sf))
