@@ -67,3 +67,18 @@ def test_crowded_pages_lose_the_same_fragments(spark, monkeypatch):
         monkeypatch.setattr(HD, "PAGE_TEXTS", limit)
         got = {tuple(r) for r in HD.clean_headings(items).select("doc_id", "page_no", "text").collect()}
         assert got == want
+
+
+def test_sync_judges_a_text_once(spark):
+    from quire.operators import headings as HD
+
+    rows = [(1, 1, "heading", 1, "（1） 項目"), (1, 1, "body", 2, "[P1] 第2節 方法\nまとめ\n 概要 \n・・・・\n本文。"), (1, 1, "removed", 3, "まとめ"), (1, 1, "heading", 4, None)]
+    items = spark.createDataFrame(rows, "doc_id long, page_no int, kind string, seq int, text string")
+    out = HD.sync_headings(items, auto_detect=True)
+    # Filters on the verdicts moved before them, so each noise test stood there several times.
+    assert _plan(out).count("これに対して") <= 2
+    assert {(r.kind, r.text) for r in out.collect()} == {
+        ("subheading", "（1） 項目"), ("subheading", "第2節 方法"), ("subheading", "概要"), ("removed", "まとめ"),
+    }
+    plain = HD.sync_headings(items, auto_detect=False)
+    assert {(r.kind, r.text) for r in plain.collect()} == {("subheading", "（1） 項目"), ("subheading", "第2節 方法"), ("removed", "まとめ")}
