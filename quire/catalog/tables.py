@@ -216,15 +216,15 @@ def _(spark, sf):
 def book_rows(spark, sf):
     """Four orders to a document, one table to a page, each with a header row and a ragged end."""
     rows = X.grid_rows(spark, sf).selectExpr(
-        "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 + 1 AS INT) AS page_no", "concat('表', doc_id % 4) AS table_name",
-        "row_no + 1 AS row_index", "CASE WHEN doc_id % 4 = 2 THEN concat(cells, array('', ' ')) ELSE cells END AS cells",
+        "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 + 1 AS INT) AS page_no", "concat('表', doc_id % 4) AS table_name", "row_no",
+        "CASE WHEN doc_id % 4 = 2 THEN concat(cells, array('', ' ')) ELSE cells END AS cells",
     )
-    heads = rows.filter("row_index = 2").selectExpr(
-        "doc_id", "page_no", "table_name", "1 AS row_index",
-        "CASE WHEN page_no = 3 THEN array('PART', 'supp', 'x', 'y') WHEN page_no = 4 THEN array('a', 'b', '', 'd')"
-        " ELSE array('part', 'Supp', 'qty', 'cents') END AS cells",
-    )
-    return rows.unionByName(heads)
+    # The first row brings the header along, so the lines are numbered once.
+    head = """CASE WHEN page_no = 3 THEN array('PART', 'supp', 'x', 'y') WHEN page_no = 4 THEN array('a', 'b', '', 'd')
+        ELSE array('part', 'Supp', 'qty', 'cents') END"""
+    both = f"""inline(filter(array(struct(row_no + 1 AS row_index, cells),
+        CASE WHEN row_no = 1 THEN struct(1 AS row_index, {head} AS cells) END), r -> r IS NOT NULL))"""
+    return rows.selectExpr("doc_id", "page_no", "table_name", both)
 
 
 BOOK = f"""{GRID}, br AS (SELECT doc_id // 4 AS doc_id, CAST(doc_id % 4 + 1 AS INT) AS page_no, '表' || (doc_id % 4) AS table_name,
@@ -269,10 +269,11 @@ def _(spark, sf):
     f"WITH {BOOK} SELECT doc_id, page_no, table_name, CAST(row_index AS INT) AS row_index, array_to_string(cells[1:4], '|') AS cells FROM book",
 )
 def _(spark, sf):
-    none = flat_grid(spark, sf).selectExpr(
+    grid = flat_grid(spark, sf)
+    none = grid.selectExpr(
         "doc_id", "grid_row AS start_row", "3 AS start_col", "2 AS row_span", "9 AS col_span", "'m' AS merged_text"
     )
-    out = G.grid_to_tables(flat_grid(spark, sf), none.filter("start_row = 1"))[0]
+    out = G.grid_to_tables(grid, none.filter("start_row = 1"))[0]
     return out.withColumn("cells", F.array_join("cells", "|"))
 
 

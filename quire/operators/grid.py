@@ -385,14 +385,13 @@ def grid_to_tables(grid_rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, D
     clipped to it.  ``spans``: ``doc_id, start_row`` (grid row), ``start_col`` from 1, extents."""
     name = F.when(is_blank("table_name"), "表1").otherwise(strip("table_name"))
     rows = grid_rows.withColumn("table_name", name)
-    facts = rows.groupBy(*TABLE).agg(
-        F.greatest(F.max(_last_filled(F.col("cells"))), F.lit(1)).alias("_n"),
-        F.min("grid_row").alias("_first"), F.count(F.lit(1)).alias("_rows"),
+    filled = _last_filled(F.col("cells"))
+    ranked = numbered(rows, TABLE, [F.col("grid_row")], span("grid_row", ROW_CHUNK), "row_index", most={"_n": filled})
+    tables = ranked.select(
+        *TABLE, "row_index", _padded(F.col("cells"), F.greatest(F.col("_n"), F.lit(1))).alias("cells")
     )
-    facts = settle(facts)
-    ranked = numbered(rows, TABLE, [F.col("grid_row")], span("grid_row", ROW_CHUNK), "row_index")
-    tables = ranked.join(facts, TABLE).select(
-        *TABLE, "row_index", _padded(F.col("cells"), F.col("_n")).alias("cells")
+    facts = rows.groupBy(*TABLE).agg(
+        F.greatest(F.max(filled), F.lit(1)).alias("_n"), F.min("grid_row").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     # A span starts on a row of its table's stretch of the grid.
     cover = facts.select(
@@ -412,10 +411,11 @@ def grid_to_tables(grid_rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, D
 def tables_to_grid(table_rows: DataFrame, spans: DataFrame | None = None):
     """Tables of a document as one flat grid: ``grid_row, page_no, table_name, row_index`` and
     cells padded to the widest table.  Spans move to grid rows."""
-    wide = table_rows.groupBy("doc_id").agg(F.max(F.size("cells")).alias("_n"))
     order = [F.col("page_no"), F.col("table_name"), F.col("row_index")]
-    ranked = settle(numbered(table_rows, ["doc_id"], order, span("page_no", 64), "grid_row"))
-    grid = ranked.join(wide, "doc_id").select(
+    ranked = settle(
+        numbered(table_rows, ["doc_id"], order, span("page_no", 64), "grid_row", most={"_n": F.size("cells")})
+    )
+    grid = ranked.select(
         "doc_id", "grid_row", "page_no", "table_name", "row_index", _padded(F.col("cells"), F.greatest(F.col("_n"), F.lit(1))).alias("cells")
     )
     if spans is None:

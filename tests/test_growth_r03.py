@@ -142,3 +142,24 @@ def test_tangled_rows_are_walked_once(spark, sf):
     from quire.catalog import QUERIES
 
     assert "MapInPandas" not in _optimized(QUERIES["group_rows_crowded"](spark, sf))
+
+
+TABLE_ROWS = "doc_id long, page_no int, table_name string, row_index int, cells array<string>"
+
+
+def test_grid_rows_meet_their_numbers_and_width_in_one_join(spark, sf):
+    from quire.catalog.tables import book_rows
+    from quire.operators import grid
+
+    # The header came from a second reading and numbering of the lines.
+    assert _optimized(book_rows(spark, sf)).count("Relation") == 1
+    rows = [(1, 1, "a", 1, ["x", "y", " "]), (1, 1, "a", 2, ["z"]), (1, 2, " b ", 1, None), (1, 2, "b", 2, ["q", None, "r", ""]), (2, 1, "", 1, [])]
+    flat = grid.tables_to_grid(spark.createDataFrame(rows, TABLE_ROWS))
+    assert "Join" not in _optimized(flat)
+    none = spark.createDataFrame([], "doc_id long, start_row int, start_col int, row_span int, col_span int, merged_text string")
+    out = grid.grid_to_tables(flat, none)[0]
+    assert _optimized(out).count("Join") == 1
+    got = {(r.doc_id, r.page_no, r.table_name, r.row_index): r.cells for r in out.collect()}
+    assert got == {
+        (1, 1, "a", 1): ["x", "y"], (1, 1, "a", 2): ["z", ""], (1, 2, "b", 1): None, (1, 2, "b", 2): ["q", "", "r"], (2, 1, "表1", 1): [""],
+    }
