@@ -354,18 +354,23 @@ def concat_tables(
         )
         moved_row, moved_col = F.col("_row0") + F.col("start_row") - F.col("_skip"), F.col("start_col")
     else:
-        parts = ranked.select(
+        parts = ranked.filter("cells IS NOT NULL").select(
             *group, F.col("_f.page_no").alias("page_no"), new_name.alias("table_name"), "_total",
             F.col("_r").alias("row_index"),
-            F.posexplode(_padded(F.col("cells"), F.col("n"))).alias("_i", "_text"), "_col0",
+            F.struct(F.col("_col0").cast("int").alias("at"), _padded(F.col("cells"), F.col("n")).alias("cells")).alias("_part"),
         )
-        by_column = F.map_from_entries(F.collect_list(F.struct(F.col("_col0") + F.col("_i") + 1, F.col("_text"))))
-        out = parts.groupBy(*group, "page_no", "table_name", "row_index", "_total").agg(by_column.alias("_m"))
+        out = parts.groupBy(*group, "page_no", "table_name", "row_index", "_total").agg(
+            F.array_sort(F.collect_list("_part")).alias("_parts")
+        )
+
+        def beside(row: Column, part: Column) -> Column:
+            return F.concat(row, F.array_repeat(F.lit(""), part["at"] - F.size(row)), part["cells"])
+
+        # Members without the row leave blanks.
+        laid_out = F.aggregate("_parts", F.array().cast("array<string>"), beside)
         out = out.select(
             *group, "page_no", "table_name", "row_index",
-            F.transform(
-                F.sequence(F.lit(1), F.col("_total")), lambda c: F.coalesce(F.try_element_at("_m", c.cast("long")), F.lit(""))
-            ).alias("cells"),
+            given(laid_out, lambda row: _padded(row, F.col("_total"))).alias("cells"),
         )
         moved_row, moved_col = F.col("start_row"), F.col("_col0") + F.col("start_col")
     if spans is None:

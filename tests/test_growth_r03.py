@@ -163,3 +163,20 @@ def test_grid_rows_meet_their_numbers_and_width_in_one_join(spark, sf):
     assert got == {
         (1, 1, "a", 1): ["x", "y"], (1, 1, "a", 2): ["z", ""], (1, 2, "b", 1): None, (1, 2, "b", 2): ["q", "", "r"], (2, 1, "表1", 1): [""],
     }
+
+
+def test_tables_are_laid_beside_one_another_by_whole_rows(spark):
+    from quire.operators import grid
+
+    rows = [(1, 1, "a", 1, ["1", "2"]), (1, 1, "a", 2, ["3"]), (1, 2, "b", 1, None), (1, 2, "b", 5, ["x", None, "y"]), (1, 3, "C", 1, ["p"]), (1, 3, "C", 2, ["q"]), (1, 3, "C", 3, ["r"])]
+    spec = [(1, 7, 3, 3, "c", "n"), (1, 7, 1, 1, "a", "n"), (1, 7, 2, 2, "b", "n")]
+    out = grid.concat_tables(
+        spark.createDataFrame(rows, TABLE_ROWS),
+        spark.createDataFrame(spec, "doc_id long, group_no int, member_no int, page_no int, table_name string, new_name string"),
+        direction="horizontal",
+    )
+    # Every cell was a row of its own in the shuffle.
+    assert "Generate" not in _optimized(out)
+    assert {r.row_index: r.cells for r in out.collect()} == {
+        1: ["1", "2", "", "", "", "p"], 2: ["3", "", "x", "", "y", "q"], 3: ["", "", "", "", "", "r"],
+    }
