@@ -180,3 +180,20 @@ def test_tables_are_laid_beside_one_another_by_whole_rows(spark):
     assert {r.row_index: r.cells for r in out.collect()} == {
         1: ["1", "2", "", "", "", "p"], 2: ["3", "", "x", "", "y", "q"], 3: ["", "", "", "", "", "r"],
     }
+
+
+def test_table_lines_take_their_slots_in_few_stored_steps(spark, monkeypatch):
+    stored = []
+    for module in (grouping, reading):
+        monkeypatch.setattr(module, "settle", lambda df, keep=module.settle: stored.append(df) or keep(df))
+    # Two columns read row by row, crowded ones on page 2, a line without a place (9) on page 1.
+    rows = [(1, 1, 1, 0, 0, 50, False), (1, 1, 2, 0, 10, 50, True), (1, 1, 3, 100, 10, 50, True), (1, 1, 4, 0, 0, 50, None), (1, 1, 5, 0, 20, 50, True)]
+    rows += [(1, 1, 6, 0, 0, 50, False), (1, 1, 7, 100, 20, 50, True), (1, 1, 8, 0, 0, 50, False), (1, 1, 9, None, 5, 50, True), (1, 1, 10, 0, 0, 9, False)]
+    rows += [(1, 2, i, 13 * i % 70, i, 10, True) for i in range(1, 30)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_no int, line_id int, x int, y int, width int, is_table boolean")
+    ordered = reading.order_table_lines(lines)
+    # Lines were numbered three times and joined with their columns on the way.
+    assert len(stored) == 4 and sum(_optimized(d).count("Join ") for d in [*stored, ordered]) <= 4
+    out = ordered.collect()
+    assert [r.line_id for r in sorted(out, key=lambda r: r.position) if r.page_no == 1] == [1, 2, 5, 3, 6, 7, 8, 10]
+    assert sorted(r.position for r in out) == sorted([*range(1, 9), *range(1, 30)])
