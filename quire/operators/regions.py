@@ -544,24 +544,34 @@ def merge_positions(positions: DataFrame, tol: int = 8, keys: list[str] | None =
 
 
 def cells_from_positions(positions: DataFrame) -> DataFrame:
-    """Cells between consecutive vertical and horizontal positions of a region."""
+    """Cells between consecutive vertical and horizontal positions of a region.
+
+    Positions are pixels, so the two lists of a region are short and travel in one row; its cells come out of that row.
+    """
     key = [*PAGE, "region_seq"]
-    w = Window.partitionBy(*key, "orient").orderBy("pos")
-    gaps = (
-        positions.withColumns({"size": F.lead("pos").over(w) - F.col("pos"), "no": F.row_number().over(w)})
-        .filter("size IS NOT NULL")
-    )
-    columns = gaps.filter("orient = 'v'").select(
-        *key, F.col("no").alias("col_no"), F.col("pos").alias("x"), F.col("size").alias("width")
-    )
-    rows = gaps.filter("orient = 'h'").select(
-        *key, F.col("no").alias("row_no"), F.col("pos").alias("y"), F.col("size").alias("height")
-    )
-    return (
-        rows.join(columns, key)
-        .filter("width > 0 AND height > 0")
-        .select(*key, "row_no", "col_no", "x", "y", "width", "height")
-    )
+
+    def lists(orient: str) -> list[Column]:
+        mine = F.col("orient") == orient
+        # A position that is null stands first in order and opens no gap, but counts.
+        return [
+            F.array_sort(F.collect_list(F.when(mine, F.col("pos")))).alias(f"_{orient}"),
+            F.count_if(mine & F.col("pos").isNull()).cast("int").alias(f"_{orient}0"),
+        ]
+
+    def gaps(orient: str, no: str, at: str, size: str) -> Column:
+        def gap(p: Column, i: Column) -> Column:
+            return F.struct(
+                (i + 1 + F.col(f"_{orient}0")).alias(no), p.alias(at),
+                (F.get(F.col(f"_{orient}"), i + 1) - p).alias(size),
+            )
+
+        return F.inline(F.filter(F.transform(f"_{orient}", gap), lambda g: g[size] > 0))
+
+    whole = positions.groupBy(*key).agg(*lists("h"), *lists("v"))
+    whole = whole.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+    rows = whole.select(*key, "_v", "_v0", gaps("h", "row_no", "y", "height"))
+    cells = rows.select(*key, "row_no", "y", "height", gaps("v", "col_no", "x", "width"))
+    return cells.select(*key, "row_no", "col_no", "x", "y", "width", "height")
 
 
 # --- tables --------------------------------------------------------------------------

@@ -197,3 +197,14 @@ def test_table_lines_take_their_slots_in_few_stored_steps(spark, monkeypatch):
     out = ordered.collect()
     assert [r.line_id for r in sorted(out, key=lambda r: r.position) if r.page_no == 1] == [1, 2, 5, 3, 6, 7, 8, 10]
     assert sorted(r.position for r in out) == sorted([*range(1, 9), *range(1, 30)])
+
+
+def test_cells_come_out_of_one_row_a_region(spark):
+    from quire.operators import regions as R
+
+    rows = [(1, 1, 1, "h", p) for p in (40, 10, 40, 25)] + [(1, 1, 1, "v", p) for p in (5, None, 9)] + [(1, 1, 2, "h", 3), (1, 1, 2, "v", 3), (1, 1, None, "h", 1)]
+    positions = spark.createDataFrame(rows, "doc_id long, page_no int, region_seq int, orient string, pos int")
+    out = R.cells_from_positions(positions)
+    # All gaps of all regions were sorted twice and joined.
+    assert "Join" not in _optimized(out) and "Window" not in _optimized(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1, 1, 2, 5, 10, 4, 15), (1, 1, 1, 2, 2, 5, 25, 4, 15)]
