@@ -484,18 +484,22 @@ def _outermost_by_rows(regions: DataFrame, margin: int) -> DataFrame:
 def _position_runs(positions: DataFrame, keys: list[str], tol: int) -> DataFrame:
     """Distinct positions of a key in runs with no gap above ``tol``.
 
-    Positions are pixels, so a key has at most one row per pixel here and a plain window
-    over it is small.
+    Positions are pixels, so a key has at most one entry per pixel here and its list is short.
     """
     counted = positions.groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    gap = F.col("pos") - F.lag("pos").over(w) > tol
-    return (
-        counted.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int"))
-        .withColumn("_run", F.sum("_new").over(w))
-        .groupBy(*keys, "_run")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("_ps"))
-    )
+    whole = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("_all"))
+    every = F.col("_all")
+
+    def opens(i: Column) -> Column:
+        return F.coalesce(F.get(every, i)["pos"] - F.get(every, i - 1)["pos"] > tol, F.lit(True))
+
+    def cut(starts: Column) -> Column:
+        return F.transform(
+            starts, lambda i, k: F.slice(every, i + 1, F.coalesce(F.get(starts, k + 1), F.size(every)) - i)
+        )
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(every) - 1), opens)
+    return whole.select(*keys, F.explode(given(starts, cut)).alias("_ps"))
 
 
 def cluster_positions(positions: DataFrame, tol: int, keys: list[str] | None = None) -> DataFrame:

@@ -208,3 +208,14 @@ def test_cells_come_out_of_one_row_a_region(spark):
     # All gaps of all regions were sorted twice and joined.
     assert "Join" not in _optimized(out) and "Window" not in _optimized(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1, 1, 2, 5, 10, 4, 15), (1, 1, 1, 2, 2, 5, 25, 4, 15)]
+
+
+def test_positions_are_cut_into_runs_within_their_list(spark):
+    from quire.operators import regions as R
+
+    rows = [(1, p) for p in (30, 10, 14, 14, 18, 40, 41, 90)] + [(2, 7)]
+    positions = spark.createDataFrame(rows, "doc_id long, pos int")
+    runs = R._position_runs(positions, ["doc_id"], 8)
+    assert "Window" not in _optimized(runs)
+    got = sorted((r.doc_id, [tuple(p) for p in r["_ps"]]) for r in runs.collect())
+    assert got == [(1, [(10, 1), (14, 2), (18, 1)]), (1, [(30, 1)]), (1, [(40, 1), (41, 1)]), (1, [(90, 1)]), (2, [(7, 1)])]
