@@ -63,3 +63,46 @@ def test_a_line_finds_its_places_in_the_lists_of_its_table(spark, monkeypatch):
     assert sum(len("".join(c.split())) for r in out for c in r[5]) == sum(len("".join(l[3].split())) for l in lines)
     monkeypatch.setattr(tables, "FEW", 0)
     assert out == sorted(map(tuple, tables.extract_tables(*args).collect()))
+
+
+def _pages(spark):
+    rng = random.Random(11)
+    words = ["a b", "東京 大阪", "alpha beta", "結論。", "Section 3", "「引用」", "長い文字列です続く", "end.", "第一節 方法"]
+    rows = [
+        (doc, page, i, rng.choice(words), rng.randrange(0, 900), 25 * rng.randrange(0, 30) + rng.randrange(4), rng.choice([20, 80, 300]), rng.choice([20, 24, 90]), rng.random() < doc / 3)
+        for doc in range(4) for page in (1, 2) for i in range(rng.choice([1, 12, 40]))
+    ]
+    return spark.createDataFrame(rows, LINE)
+
+
+def test_pages_are_dealt_out_once_for_their_paragraphs(spark, monkeypatch):
+    from quire.operators import paragraphs, reading
+
+    lines = _pages(spark)
+    stored = _recorded(monkeypatch, grouping, paragraphs)
+
+    def run():
+        return sorted(map(tuple, paragraphs.format_paragraphs(lines, subheadings=True).collect()))
+
+    few = run()
+    # The cleaned lines, and those with their rows; every step behind them was stored, too.
+    assert len(stored) == 2 and len(few) > 8
+    for module in (paragraphs, reading):
+        monkeypatch.setattr(module, "MOST_ITEMS", 0)
+    assert run() == few
+
+
+@pytest.mark.parametrize("rest", [{}, {"deck_count": 3}, {"doc_type": "western"}, {"regions": True}])
+def test_pages_are_dealt_out_once_for_their_order(spark, monkeypatch, rest):
+    from quire.operators import reading
+
+    lines = _pages(spark)
+    if "regions" in rest:
+        rest = {"regions": lines.select("doc_id", "page_no").distinct().selectExpr(
+            "*", "inline(array(struct(1 AS region_seq, 0 AS x, 300 AS y, 700 AS width, 500 AS height), struct(2 AS region_seq, 0 AS x, 60 AS y, 1300 AS width, 840 AS height)))"
+        )}
+    stored = _recorded(monkeypatch, grouping, reading)
+    few = sorted(map(tuple, reading.reading_order(lines, **rest).collect()))
+    assert len(stored) == 2 and few
+    monkeypatch.setattr(reading, "MOST_ITEMS", 0)
+    assert few == sorted(map(tuple, reading.reading_order(lines, **rest).collect()))
