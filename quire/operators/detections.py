@@ -12,7 +12,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 from heapq import merge
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import PAGE
@@ -29,9 +29,7 @@ DET_SCHEMA = (
 
 def _crowded(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that are alone in their part, and the rest."""
-    df = settle(df)
-    sizes = df.groupBy(*PART).agg(F.count(F.lit(1)).alias("_n"))
-    sized = df.join(sizes, PART)
+    sized = settle(df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*PART))))
     return sized.filter("_n = 1").drop("_n"), sized.filter("_n > 1").drop("_n")
 
 
@@ -89,12 +87,11 @@ def resolve_duplicate_lines(
         *PAGE, "line_id", "x", "y", "width", "height", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "is_vertical",
         F.length(F.regexp_replace("text", r"(?U)\s+", "")).alias("chars"), F.col("confidence").alias("_given"),
     )
-    placed = settle(box_clusters(
+    placed = box_clusters(
         light, F.col("x"), F.col("y"),
         F.col("x") + F.col("width"), F.col("y") + F.col("height"),
-    ))
-    sizes = placed.groupBy(*PART).agg(F.count(F.lit(1)).alias("_n"))
-    parts = settle(placed.join(sizes, PART))
+    )
+    parts = settle(placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*PART))))
     alone = parts.filter("_n = 1").select(*PAGE, "line_id", F.col("_given").alias("_conf"))
     small = parts.filter("_n > 1").select(
         *PART, "line_id", "x", "y", "width", "height", "confidence", "is_vertical", "chars"
