@@ -106,3 +106,86 @@ def test_pages_are_dealt_out_once_for_their_order(spark, monkeypatch, rest):
     assert len(stored) == 2 and few
     monkeypatch.setattr(reading, "MOST_ITEMS", 0)
     assert few == sorted(map(tuple, reading.reading_order(lines, **rest).collect()))
+
+
+def _headings(spark, n=300):
+    rng = random.Random(4)
+    words = ["第一章 始め", "第一章 始", "第一節 方法", "Results", "results", "Results of it", "Re", "a", "A", "ab", "結論", "結論。", None, "ẞa", "1.2 実装", "", " "]
+    rows = [
+        (rng.choice([1, 2, None]), rng.choice([1, 2, None]), i, rng.choice(["heading", "subheading", "removed", "body", None]), rng.choice(words))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "doc_id long, page_no int, seq int, kind string, text string")
+
+
+@pytest.mark.parametrize("step", ["clean_headings", "reclassify_headings", "drop_prefix_fragments"])
+def test_headings_are_dealt_out_once(spark, monkeypatch, step):
+    from quire.operators import headings as H
+
+    items, fragments = _headings(spark), step == "drop_prefix_fragments"
+    stored = _recorded(monkeypatch, H)
+    step = (lambda df: H.reclassify_headings(H.clean_headings(df))) if step == "reclassify_headings" else getattr(H, step)
+
+    out = step(items)
+    # Once to be cleaned, with one copy of what is kept, and once to be moved.
+    assert [_exchanges(d) for d in stored] == ([] if fragments else [1]) and _exchanges(out) <= 1
+    few = sorted(map(repr, out.collect()))
+    monkeypatch.setattr(H, "PAGE_TEXTS", 0)
+    assert few and sorted(map(repr, step(items).collect())) == few
+
+
+def test_a_heading_line_travels_with_a_number_of_its_key(spark):
+    from quire.operators import headings as H
+
+    items = _headings(spark).filter("text IS NOT NULL")
+    lines = items.filter("kind = 'body'").selectExpr("doc_id", "page_no", "seq", "0 AS line_index", "text")
+    titles = items.filter("kind IN ('heading', 'subheading')")
+    out = H.mark_heading_lines(lines, titles)
+    keys = re.findall(r"Join.*?\n", out._jdf.queryExecution().sparkPlan().toString())
+    # The key of every line, as long as its text, was dealt out beside it.
+    assert "_h#" in keys[0] and not re.search(r"_k#\d+\]", keys[0].split("LeftOuter")[0])
+    seen = {(r.doc_id, r.page_no, H_key(r.text)) for r in titles.collect() if H_key(r.text) and r.doc_id and r.page_no}
+    for r in out.collect():
+        assert r.is_heading == ("。" not in r.text and (r.doc_id, r.page_no, H_key(r.text)) in seen), r
+
+
+def H_key(text):
+    return re.sub(r"[\W_]", "", text).lower()
+
+
+def test_boxes_are_dealt_out_once_for_their_parts(spark):
+    from quire.operators.bands import box_clusters
+
+    rng = random.Random(8)
+    rows = [(d, 1, i, x := rng.choice([None, *range(0, 900, 30)]), y := rng.randrange(0, 3000, 45), (x or 0) + rng.choice([0, 20, 30, 90]), y + 40) for d in range(3) for i in range(40)]
+    boxes = spark.createDataFrame(rows, "doc_id long, page_no int, i int, x1 int, y1 int, x2 int, y2 int")
+    out = box_clusters(boxes, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    assert _exchanges(out) == 1
+    got = out.collect()
+    assert {(r.doc_id, r.i) for r in got} == {(r[0], r[2]) for r in rows if r[3] is not None}
+    parts = {}
+    for r in got:
+        parts.setdefault(r.doc_id, {}).setdefault((r._cy, r._cx), []).append((r.x1, r.y1, r.x2, r.y2))
+    for own in parts.values():
+        assert len(own) > 3
+        flat = [(k, b) for k, bs in own.items() for b in bs]
+        for k, a in flat:
+            for m, b in flat:
+                meet = max(a[0], b[0]) < min(a[2], b[2]) and max(a[1], b[1]) < min(a[3], b[3])
+                assert k == m or not meet
+
+
+def test_lines_of_a_paragraph_meet_in_one_row(spark, monkeypatch):
+    from quire.plans import document
+
+    rows = [(1, 1, "body", 1, "始め\r\n第一節 方法\n終わり。\n結論"), (1, 1, "subheading", 9, "第一節 方法"), (1, 2, "body", 1, "結論\n\n a b"), (1, 2, "heading", 2, "a b")]
+    items = spark.createDataFrame(rows, "doc_id long, page_no int, kind string, seq int, text string")
+    tables = spark.createDataFrame([], "doc_id long, page_no int, table_seq int, table_name string, row_index int, cells array<string>")
+    figures = spark.createDataFrame([], "doc_id long, page_no int, seq int, name string")
+    stored = _recorded(monkeypatch, document)
+    out = document.document_stream(items, tables, figures)
+    # The items, the headings of their own and the whole stream; the marked and the counted lines were stored, too.
+    assert len(stored) == 3
+    assert [(r.page_no, r.kind, r.text) for r in out.orderBy("ord").collect()] == [
+        (1, "body", "始め"), (1, "subheading", "第一節 方法"), (1, "body", "終わり。結論"), (2, "body", "結論"), (2, "subheading", "a b"),
+    ]
